@@ -4,7 +4,9 @@ Look-alike pairs of strings and code points (width forms, ligatures, radicals, l
 other scripts, kinds of space and hyphen, line ends, characters of no width) are joined
 by union-find into transitive classes. The member most frequent in the corpus stands
 for its class, and texts are rewritten greedily, leftmost longest, by one multi-pattern
-automaton between canonical decomposition and composition, which settles accents.
+automaton between canonical decomposition and composition, which settles accents. At last
+each word gets its letters from the one script that its other letters belong to, which
+depends on the rewritten text alone, so what was equal stays equal and Russian stays Russian.
 
 Kept apart, as they are visible: case, accents, line breaks, whether there is a space,
 super- and subscripts, dashes longer than a hyphen, letters against digits.
@@ -15,6 +17,7 @@ and bounded by the size of Unicode. Rewriting is a map without a shuffle.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -122,6 +125,62 @@ def rewrites(frequency: dict[str, int]) -> dict[str, str]:
     return out
 
 
+_CYRILLIC, _GREEK = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽ]")
+_RUN = re.compile(r"[^\W\d_]+")
+_KANA_CLASS = {g[0]: next(c for c in g if "ァ" <= c <= "ー") for g in IDEOGRAPHS if any("ァ" <= c <= "ー" for c in g)}
+
+
+def _towards(first: str, last: str) -> dict[int, str]:
+    """Every member of a letter class -> its member between `first` and `last`."""
+    out = {}
+    for latin, others in LETTERS.items():
+        group = latin + others
+        best = next((c for c in group if first <= c <= last), None)
+        if best is not None:
+            out |= {ord(c): best for c in group if c != best}
+    return out
+
+
+_TO = {"latin": _towards("A", "z"), "cyrillic": _towards("Ѐ", "ԯ"), "greek": _towards("Ͱ", "Ͽ")}
+_AMBIGUOUS = frozenset(c for k, v in LETTERS.items() for c in k + v)
+_IDEOGRAPH_OF = {c: g[0] for g in IDEOGRAPHS for c in g}
+
+
+def one_script(text: str) -> str:
+    """Letters that fit several scripts, in that of the other letters of their word; a word of such letters only follows the word before, else the next one, else is Latin."""
+    if _CYRILLIC.search(text) or _GREEK.search(text):
+        words, scripts = list(_RUN.finditer(text)), []
+        for m in words:
+            own = [c for c in m.group() if c not in _AMBIGUOUS]
+            n = {"cyrillic": sum("Ѐ" <= c <= "ԯ" for c in own), "greek": sum("Ͱ" <= c <= "Ͽ" for c in own), "latin": sum(c < "ɐ" for c in own)}
+            scripts.append(max(n, key=n.get) if any(n.values()) else None)
+        known = next((x for x in scripts if x), "latin")
+        parts, at = [], 0
+        for m, script in zip(words, scripts):
+            known = script or known
+            parts += [text[at : m.start()], m.group().translate(_TO[known])]
+            at = m.end()
+        text = "".join(parts) + text[at:]
+    if not _IDEOGRAPH_OF.keys().isdisjoint(text):
+        chars = list(text)
+        kana = [("ァ" <= c <= "ヺ" or c == "ー") and c not in _IDEOGRAPH_OF for c in chars]
+        i = 0
+        while i < len(chars):
+            if chars[i] not in _IDEOGRAPH_OF:
+                i += 1
+                continue
+            j = i
+            while j < len(chars) and chars[j] in _IDEOGRAPH_OF:
+                j += 1
+            beside = (i > 0 and kana[i - 1]) or (j < len(chars) and kana[j])
+            for t in range(i, j):
+                base = _IDEOGRAPH_OF[chars[t]]
+                chars[t] = _KANA_CLASS.get(base, base) if beside else base
+            i = j
+        text = "".join(chars)
+    return text
+
+
 class Rewriter:
     """Greedy leftmost-longest rewriting of texts."""
 
@@ -138,7 +197,7 @@ class Rewriter:
         if not text.isascii():
             text = unicodedata.normalize("NFD", text)
         if self.first.isdisjoint(text):
-            return unicodedata.normalize("NFC", text)
+            return one_script(unicodedata.normalize("NFC", text))
         shows = text.endswith("­")
         parts, at = [], 0
         for end, (n, to) in self.machine.iter_long(text):
@@ -146,7 +205,7 @@ class Rewriter:
             parts.append(to)
             at = end + 1
         parts.append(text[at:])
-        return unicodedata.normalize("NFC", "".join(parts) + "-" * shows)
+        return one_script(unicodedata.normalize("NFC", "".join(parts) + "-" * shows))
 
 
 def code_points(texts: DataFrame, text: str = "text") -> dict[str, int]:
