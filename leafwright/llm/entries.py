@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("q_percentiles", "q_prose", "q_lookalike", "q_language", "q_scan_noise", "q_packing", "q_mixing", "q_residue")
+MODULES = ("q_percentiles", "q_prose", "q_lookalike", "q_language", "q_packing", "q_mixing", "q_residue")
 
 
 def _modules() -> list:

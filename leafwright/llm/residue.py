@@ -121,7 +121,7 @@ def has_template(t: str) -> bool:
 HINTS = {
     "message": (
         "script|cookie|not found|be found|moved or removed|leads nowhere|denied|permission|try again|too many|slow down|expired|robot|back soon|went wrong|unexpected error|no backend|not supported|be loaded|nicht gefunden|verweigert|versuchen|abgelaufen|skripte|introuvable|accès|réessayer|encontrad|denegado|inténtelo|navegador|non esiste"
-        "|trovata|negato|riprovare|não|negado|tente|gevonden|geweigerd|probeer|не найден|доступ|попытку|скрипт|不存在|拒绝|登录|脚本|请稍|频繁|内部错误|見つかりません|拒否|エラー|再度|スクリプト|찾을 수 없|권한이|다시 시도|오류|너무 많|did not|timed out|http|error|status|bad request|unauthorized|payment|forbidden|not allowed|acceptable|timeout|time-out|conflict|gone|length required"
+        "|trovata|negato|riprovare|não|negado|tente|gevonden|geweigerd|probeer|не найден|доступ|попытку|скрипт|不存在|拒绝|登录|脚本|请稍|频繁|内部错误|見つかりません|拒否|エラー|再度|スクリプト|찾을 수 없|권한이|다시 시도|오류|스크립트|너무 많|did not|timed out|http|error|status|bad request|unauthorized|payment|forbidden|not allowed|acceptable|timeout|time-out|conflict|gone|length required"
         "|payload|internal server|implemented|gateway|unavailable|warning|notice|traceback|file \"|exception|\n at|\tat |open stream|exhausted"
     ).split("|"),
     "stock": "texte|faux|placeholder|sample text|content|your text|text text|body copy|dummy|текст|пример|hier steht|beispieltext|blindtext|write a short|내용이|텍스트|hier komt|voorbeeldtekst|segnaposto|il testo|di esempio|texto|占位|示例|正文|ダミー|テキスト".split("|"),
