@@ -147,17 +147,21 @@ _IDEOGRAPH_OF = {c: g[0] for g in IDEOGRAPHS for c in g}
 
 
 def one_script(text: str) -> str:
-    """Letters that fit several scripts, in that of the other letters of their word; a word of such letters only follows the word before, else the next one, else is Latin."""
+    """Letters that fit several scripts, in that of the other letters of their word; a word of such letters only follows the word before, or the next one where a sentence or line begins, else is Latin."""
     if _CYRILLIC.search(text) or _GREEK.search(text):
         words, scripts = list(_RUN.finditer(text)), []
         for m in words:
             own = [c for c in m.group() if c not in _AMBIGUOUS]
             n = {"cyrillic": sum("Ѐ" <= c <= "ԯ" for c in own), "greek": sum("Ͱ" <= c <= "Ͽ" for c in own), "latin": sum(c < "ɐ" for c in own)}
             scripts.append(max(n, key=n.get) if any(n.values()) else None)
-        known = next((x for x in scripts if x), "latin")
+        following: list[str | None] = [None] * (len(words) + 1)
+        for i in range(len(words) - 1, -1, -1):
+            following[i] = scripts[i] or following[i + 1]
+        known = following[0] or "latin"
         parts, at = [], 0
-        for m, script in zip(words, scripts):
-            known = script or known
+        for i, (m, script) in enumerate(zip(words, scripts)):
+            opens = not script and any(c in ".!?。！？\n" for c in text[at : m.start()])
+            known = script or (following[i] if opens else None) or known
             parts += [text[at : m.start()], m.group().translate(_TO[known])]
             at = m.end()
         text = "".join(parts) + text[at:]
