@@ -1 +1 @@
-
+"""Operators, a module each subject, with their queries."""
