@@ -74,36 +74,51 @@ CODE = re.compile(r"(?:^|\s)#{0,3}\s*[45]\d\d\b")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\s\d])|(?<=[。！？])\s*|\n+")
 END = re.compile(r"[.!?。！？][\"')\]]*$")
 LIST = re.compile(r"^\s*(?:[-*•·▪]|\d{1,3}[.)])\s+\S", re.M)
+PARAGRAPH = re.compile(r"\n\s*\n")
 DIGIT = re.compile(r"\d")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+_QUOTES = frozenset("“„「『‘\"«")
+_FAILED_HINTS = ("undefined", "NaN", "null", "None", "#REF", "#N/A", "#VALUE", "#NAME", "#DIV", "[object", "XXXX", "某某", "〇〇", "○○")
+_BRACKETS = frozenset("[<【〔(（")
+TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$", re.M)
+ESCAPED = re.compile(r"\\([{}\[\]<>$%#_])")
 _MARKS = frozenset("{$%«<_@[#")
 _PLAIN = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
+_SPECIAL = frozenset(map(chr, _PLAIN))
 
 
 def running_text(text: str) -> tuple[str, bool]:
     """The text without code and mentions, in plain characters; and whether it had a code block, table or image."""
-    t = html.unescape(text).replace("\r\n", "\n").replace("\r", "\n")
-    if not t.isascii():
+    t = html.unescape(text) if "&" in text else text
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    if not t.isascii() and not _SPECIAL.isdisjoint(t):
         t = t.translate(_PLAIN)
-    bare = FENCE.sub("\n", t)
-    structure = bare != t or "![" in bare or bool(re.search(r"^\s*\|.*\|\s*$", bare, re.M))
-    return re.sub(r"\\([{}\[\]<>$%#_])", r"\1", TICKS.sub(" ", bare)), structure
+    bare = FENCE.sub("\n", t) if "```" in t or "~~~" in t else t
+    structure = bare != t or "![" in bare or ("|" in bare and bool(TABLE_ROW.search(bare)))
+    if "`" in bare:
+        bare = TICKS.sub(" ", bare)
+    return ESCAPED.sub(r"\1", bare) if "\\" in bare else bare, structure
+
+
+def unquoted(t: str) -> str:
+    """A text without quoted mentions."""
+    return t if _QUOTES.isdisjoint(t) else QUOTED.sub(" ", t)
 
 
 def has_template(t: str) -> bool:
-    """(a) on a running text."""
-    t = QUOTED.sub(" ", t)
+    """(a) on a running text without mentions."""
     if not _MARKS.isdisjoint(t) and FIELD.search(t):
         return True
-    for m in BRACKETED.finditer(t):
+    for m in BRACKETED.finditer(t) if not _BRACKETS.isdisjoint(t) else ():
         square, round_ = m.group(1), m.group(3)
         if square is not None and not NO_FILL.match(square) and (FILL_SQUARE.search(square) or (m.group()[0] == "<" and re.fullmatch(r"[A-Z][A-Z ]{4,40}", square))):
             return True
         if round_ is not None and not NO_FILL.match(round_) and FILL_ROUND.search(round_):
             return True
-    for m in FAILED.finditer(t):
+    for m in FAILED.finditer(t) if any(h in t for h in _FAILED_HINTS) else ():
         a = max(t.rfind(c, 0, m.start()) for c in ".!?。！？\n") + 1
         ends = [i for i in (t.find(c, m.end()) for c in ".!?。！？\n") if i >= 0]
         sentence = t[a : min(ends, default=len(t))]
@@ -120,9 +135,9 @@ def has_template(t: str) -> bool:
 #: Pieces, lower case, without one of which the slow patterns needn't be tried.
 HINTS = {
     "message": (
-        "script|cookie|not found|be found|moved or removed|leads nowhere|denied|permission|try again|too many|slow down|expired|robot|back soon|went wrong|unexpected error|no backend|not supported|be loaded|nicht gefunden|verweigert|versuchen|abgelaufen|skripte|introuvable|accès|réessayer|encontrad|denegado|inténtelo|navegador|non esiste"
-        "|trovata|negato|riprovare|não|negado|tente|gevonden|geweigerd|probeer|не найден|доступ|попытку|скрипт|不存在|拒绝|登录|脚本|请稍|频繁|内部错误|見つかりません|拒否|エラー|再度|スクリプト|찾을 수 없|권한이|다시 시도|오류|스크립트|너무 많|did not|timed out|http|error|status|bad request|unauthorized|payment|forbidden|not allowed|acceptable|timeout|time-out|conflict|gone|length required"
-        "|payload|internal server|implemented|gateway|unavailable|warning|notice|traceback|file \"|exception|\n at|\tat |open stream|exhausted"
+        "javascript|java script|scripts|cookie|not found|be found|moved or removed|leads nowhere|denied|permission|try again|too many|slow down|expired|robot|back soon|went wrong|unexpected error|no backend|not supported|be loaded|nicht gefunden|verweigert|versuchen|abgelaufen|skripte|introuvable|accès|réessayer|encontrad|denegado|inténtelo|navegador|non esiste"
+        "|trovata|negato|riprovare|não foi|não existe|não encontr|negado|tente |gevonden|geweigerd|probeer|не найден|доступ|попытку|скрипт|不存在|拒绝|登录|脚本|请稍|频繁|内部错误|見つかりません|拒否|エラー|再度|スクリプト|찾을 수 없|권한이|다시 시도|오류|스크립트|너무 많|did not|timed out|http|error|status|bad request|unauthorized|payment|forbidden|not allowed|acceptable|timeout|time-out|conflict|gone|length required"
+        "|payload|internal server|implemented|gateway|unavailable|warning:|notice:|parse error|traceback|file \"|exception|\n at|\tat |open stream|exhausted"
     ).split("|"),
     "stock": "texte|faux|placeholder|sample text|content|your text|text text|body copy|dummy|текст|пример|hier steht|beispieltext|blindtext|write a short|내용이|텍스트|hier komt|voorbeeldtekst|segnaposto|il testo|di esempio|texto|占位|示例|正文|ダミー|テキスト".split("|"),
     "latin": "lorem|ipsum|dolor|amet|consec|aliqu|cillum|fugi|nost|ullam|mollit|irur|velit|sint|duis|except".split("|"),
@@ -150,6 +165,9 @@ def is_filler(paragraph: str) -> bool:
     if len(p) < 8 or "![" in p or p.startswith("|") or LIST.search(p) or p.startswith("#"):
         return False
     lower = p.lower()
+    pieces = lower.split()
+    if len(pieces) >= 8 and len(set(pieces)) > 0.5 * len(pieces) and not hinted("latin", lower) and not hinted("stock", lower):
+        return False
     words = WORDS.findall(lower)
     if len(words) >= 5 and sum(1 for _ in _machine("latin").iter(lower)) >= 0.25 * len(words):
         if sum(w.startswith(LATIN) and len(w) > 2 for w in words) >= 0.7 * len(words) and sum(w.startswith(tuple(HINTS["latin"])) for w in words) >= 0.25 * len(words):
@@ -230,7 +248,8 @@ def evidence(docs: DataFrame) -> DataFrame:
                     rows.append((doc, source, False, False, []))
                     continue
                 t, structure = running_text(text)
-                residue = has_template(t) or any(is_filler(x) for x in re.split(r"\n\s*\n", QUOTED.sub(" ", t)))
+                plain = unquoted(t)
+                residue = has_template(plain) or any(is_filler(x) for x in PARAGRAPH.split(plain))
                 bare, keys = responses(t, structure, title)
                 rows.append((doc, source, residue, bare, [{"key": k, "status": a, "stock": b} for k, a, b in keys]))
             yield pd.DataFrame(rows, columns=["doc_id", "source", "residue", "bare", "keys"])
