@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.llm.sampling import hash_sample
+
 BUCKETS = 1 << 15
 SAMPLE = 20_000
 SCRIPTS = ("latin", "cyrillic", "greek", "han", "kana", "hangul", "other")
@@ -82,8 +84,11 @@ class Model:
         """Viterbi path over the units, and their scores. `after_stop`: a sentence ended before the unit."""
         s = np.array([self.score(u) for u in units])
         n, k = s.shape
-        if (s.argmax(1) == s[0].argmax()).all():
-            return s.argmax(1), s
+        alone = int(s.sum(axis=0).argmax())
+        lead = np.zeros((n + 1, k))
+        np.cumsum(s - s[:, alone : alone + 1], axis=0, out=lead[1:])
+        if (lead - np.minimum.accumulate(lead, axis=0)).max() <= SWITCH_AT_STOP:  # no stretch gains as much as its cheapest switch costs
+            return np.full(n, alone), s
         back = np.empty((n, k), dtype=np.int64)
         best = s[0].copy()
         for i in range(1, n):
@@ -100,14 +105,14 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, languages: list[str] | None = None) -> Model:
-    """Trained on at most `sample` labelled documents (columns doc_id, text, lang), those with the smallest hash of the id.
+    """Trained on about `sample` labelled documents (columns doc_id, text, lang), those with the smallest hash of the id.
 
     `languages` limits the labels; rows with other labels are left out.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     if languages is not None:
         rows = rows.where(F.col("lang").isin(languages))
-    picked = rows.select(F.xxhash64("doc_id").alias("h"), "lang", "text").orderBy("h").limit(sample)
+    picked = hash_sample(rows, "doc_id", sample).select("lang", "text")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict[str, np.ndarray] = {}
@@ -131,7 +136,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: list[str] | None = N
             yield pd.DataFrame({"lang": lang, "b": b, "n": t[b]})
             yield pd.DataFrame({"lang": lang, "b": -1 - np.arange(len(SCRIPTS)), "n": scripts[lang]})
 
-    got = picked.repartition(8, "h").mapInPandas(count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n")).toPandas()
+    got = picked.mapInPandas(count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got.lang.unique()) or ["und"]
     at = {x: i for i, x in enumerate(names)}
     counts, scripts = np.zeros((BUCKETS, len(names))), np.zeros((len(SCRIPTS), len(names)))
@@ -165,12 +170,11 @@ def segments(model: Model, text: str) -> tuple[list[tuple[int, int, int, float]]
         spans.append((found[a].start(), found[b - 1].end(), int(path[a]), float(z[path[a]] / z.sum())))
     cut = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | np.array(after[1:], dtype=bool)]))
     sentences = []
-    for a, b in zip(cut, np.append(cut[1:], len(units))):
-        letters = sum(map(len, units[a:b]))
-        wide = sum(len(u) for u in units[a:b] if script_of(u) in (3, 4))
-        size = wide / 2 if wide > letters / 2 else sum(len(u) > 1 for u in units[a:b])
-        z = s[a:b].sum(axis=0)
-        z = np.exp(z - z.max())
+    sizes = [len(u) for u in units]
+    wide = [n if script_of(u) in (3, 4) else 0 for u, n in zip(units, sizes)]
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(units)]):
+        broad = sum(wide[a:b])
+        size = broad / 2 if 2 * broad > sum(sizes[a:b]) else sum(n > 1 for n in sizes[a:b])
         closed = bool(b == len(units) or bounds[b] != bounds[b - 1]) and bool(bounds[b - 1] < len(stops))
         sentences.append((found[a].start(), found[b - 1].end(), int(path[a]), float(size), closed))
     return spans, sentences

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.prose_holdout import HOLDOUT
+from leafwright.llm.sampling import hash_sample
 
 SAMPLE = 12_000
 ENDS = ".!?。！？"
@@ -43,6 +44,7 @@ KEY = re.compile(r"^\s*[^\s:=：][^:=：]{0,60}\s*[:=：]\s*\S")
 LEADER = re.compile(r"[.·…_\-=]{4,}|(?:[.·] ){3,}")
 GAP = re.compile(r"\t|\S {2,}\S")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+CAMEL = re.compile(r"[a-z][A-Z0-9]|\d[A-Za-z]")
 SPLIT = re.compile(r"(?<=[.!?])[\s\"”»)]+|(?<=[。！？])|\n\s*\n")
 CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 ENUMERATOR = re.compile(r"(?:^|(?<=\n)|(?<=;))\s*\(?(?:\d{1,3}|[a-z])[.)](?=\s)")
@@ -67,8 +69,9 @@ def statistics(text: str | None) -> list[float]:
     words = WORD.findall(text)
     cjk = len(CJK.findall(text))
     letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in text)
-    blanks = sum(c.isspace() for c in text)
+    counts = Counter(text)
+    digits = sum(v for c, v in counts.items() if c.isdigit())
+    blanks = sum(v for c, v in counts.items() if c.isspace())
     symbols = n - blanks - letters - digits
     flat = re.sub(r"-\s*\n\s*", "", ENUMERATOR.sub(" ", LEADER.sub(" ", text)))
     flat = re.sub(r"\s*\n\s*", "" if cjk > letters * 0.3 and " " not in text.strip() else " ", flat)
@@ -85,7 +88,6 @@ def statistics(text: str | None) -> list[float]:
             in_sentence += len(s)
             lengths.append(size)
     common = sum(w.lower() in COMMON for w in words)
-    counts = Counter(text)
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
     trimmed = [x.strip() for x in lines]
     latin = [w for w in words if w.isascii() and len(w) > 1]
@@ -93,10 +95,10 @@ def statistics(text: str | None) -> list[float]:
         float(n), float(len(lines)), float(len(words)), letters / max(1, len(words)), sum(map(len, trimmed)) / len(lines), symbols / n, digits / n, letters / n,
         sum(x[-1] in ENDS for x in trimmed) / len(lines), 100 * max(0, ends) / n, min(1.0, in_sentence / max(1, len(flat.strip()))), float(np.mean(lengths)) if lengths else 0.0, max(lengths, default=0.0),
         sum(bool(BULLET.match(x)) for x in lines) / len(lines), sum(bool(KEY.match(x)) for x in lines) / len(lines), sum(bool(GAP.search(x)) for x in lines) / len(lines), sum(map(len, LEADER.findall(text))) / n,
-        sum(text.count(c) for c in "|│¦") / n, 1 - len(set(trimmed)) / len(lines), entropy, common / max(1, len(words)), sum(text.count(c) for c in PARTICLES) / max(1, cjk), sum(len(t) == 1 for t in tokens) / max(1, len(tokens)),
+        sum(counts.get(c, 0) for c in "|│¦") / n, 1 - len(set(trimmed)) / len(lines), entropy, common / max(1, len(words)), sum(counts.get(c, 0) for c in PARTICLES) / max(1, cjk), sum(len(t) == 1 for t in tokens) / max(1, len(tokens)),
         sum(bool(NUMBER.fullmatch(t.strip("(),;:"))) for t in tokens) / max(1, len(tokens)), float(max(map(len, tokens), default=0)), sum(counts.get(c, 0) for c in "�■□¤§\\^~`<>{}[]$#@") / n + 2 * len(GARBLED.findall(text)) / n,
-        sum(bool(CONSONANTS.search(w)) for w in latin) / max(1, len(latin)), sum(c.isupper() for c in text) / max(1, letters), sum(len(x) < 30 for x in trimmed) / len(lines), len(re.findall(r",\S", text)) / n,
-        sum(bool(CELL.match(t)) for t in tokens) / max(1, len(tokens)), sum(text.count(c) for c in ";；") / n, sum(bool(re.search(r"[a-z][A-Z0-9]|\d[A-Za-z]", t)) for t in tokens) / max(1, len(tokens)), cjk / n,
+        sum(bool(CONSONANTS.search(w)) for w in latin) / max(1, len(latin)), sum(v for c, v in counts.items() if c.isupper()) / max(1, letters), sum(len(x) < 30 for x in trimmed) / len(lines), len(re.findall(r",\S", text)) / n,
+        sum(bool(CELL.match(t)) for t in tokens) / max(1, len(tokens)), sum(counts.get(c, 0) for c in ";；") / n, sum(bool(CAMEL.search(t)) for t in tokens) / max(1, len(tokens)), cjk / n,
         sum(x[0].islower() for x in trimmed) / len(lines), float(trimmed[0][0].isupper() or bool(CJK.match(trimmed[0][0]))), float(trimmed[-1][-1] in ENDS),
     ]
 
@@ -192,17 +194,18 @@ def _matrix(texts: pd.Series) -> np.ndarray:
 
 
 def train(rows: DataFrame, row_id: str = "elem_id", text: str = "canonical", kind: str = "element_type", sample: int = SAMPLE) -> Trees:
-    """Trees trained on the weak labels of at most `sample` rows of 40 characters and more, calibrated on the hand-checked holdout.
+    """Trees trained on the weak labels of about `sample` rows of 40 characters and more, calibrated on the hand-checked holdout.
 
     Where the rows give fewer than 20 labels of a class, the holdout is trained on as well.
     """
-    picked = rows.where((F.length(text) >= 40) & F.col(row_id).isNotNull()).select(F.xxhash64(row_id).alias("h"), text, F.coalesce(F.col(kind) == "list", F.lit(False)).alias("listed")).orderBy("h").limit(sample)
+    picked = rows.where((F.length(text) >= 40) & F.col(row_id).isNotNull())
+    picked = hash_sample(picked, row_id, sample).select(text, F.coalesce(F.col(kind) == "list", F.lit(False)).alias("listed"))
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"x": list(_matrix(p[text])), "listed": p["listed"]})
 
-    got = picked.repartition(12, "h").mapInPandas(measure, "x array<double>, listed boolean").toPandas()
+    got = picked.mapInPandas(measure, "x array<double>, listed boolean").toPandas()
     hx, hy = _matrix(pd.Series([t for t, _ in HOLDOUT])), np.array([int(k) for _, k in HOLDOUT])
     x = np.array(got.x.tolist(), dtype=float).reshape(len(got), len(NAMES))
     y = weak_label(x, got.listed.to_numpy(bool)) if len(got) else np.empty(0, int)
