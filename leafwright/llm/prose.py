@@ -203,7 +203,7 @@ def train(rows: DataFrame, row_id: str = "elem_id", text: str = "canonical", kin
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"x": list(_matrix(p[text])), "listed": p["listed"]})
+            yield pd.DataFrame({"x": pd.Series(list(_matrix(p[text])), dtype=object), "listed": p["listed"].to_numpy()})
 
     got = picked.mapInPandas(measure, "x array<double>, listed boolean").toPandas()
     hx, hy = _matrix(pd.Series([t for t, _ in HOLDOUT])), np.array([int(k) for _, k in HOLDOUT])

@@ -224,14 +224,14 @@ def responses(t: str, structure: bool, title: str | None) -> tuple[bool, list[tu
             keyed.append((sentence_key(s), False, False))
         else:
             loose += len(s)
-    bare = hits > 0 and not structure and len(t) < 1500 and loose <= 120 and other <= hits + 1 and len(LIST.findall(t)) < 3
+    bare = hits > 0 and not structure and len(t) < 1500 and loose <= 120 and other <= hits and len(LIST.findall(t)) < 3
     if bare and title:
         terms = {w for w in WORDS.findall(title.lower()) if len(w) > 3}
         body = set(WORDS.findall(" ".join(x for x in pieces if END.search(x) and not STATUS.search(x) and not STOCK_ERROR.search(x)).lower()))
         bare = not (terms and len(terms & body) > len(terms) / 2)
     if not bare:
         return False, [k for k in keyed if k[2]]
-    return True, [(k, status or (not stock and other <= hits), stock) for k, status, stock in keyed]
+    return True, [(k, status or not stock, stock) for k, status, stock in keyed]
 
 
 EVIDENCE = "doc_id bigint, source string, residue boolean, bare boolean, keys array<struct<key:bigint,status:boolean,stock:boolean>>"
