@@ -106,9 +106,6 @@ def rewrites(frequency: dict[str, int]) -> dict[str, str]:
     for latin, others in LETTERS.items():
         for o in others:
             classes.union(latin, o)
-    for group in IDEOGRAPHS:
-        for o in group[1:]:
-            classes.union(group[0], o)
     for radical, ideograph in zip(RADICALS[::2], RADICALS[1::2]):
         classes.union(radical, ideograph)
     out: dict[str, str] = {}
@@ -146,6 +143,22 @@ _AMBIGUOUS = frozenset(c for k, v in LETTERS.items() for c in k + v)
 _IDEOGRAPH_OF = {c: g[0] for g in IDEOGRAPHS for c in g}
 
 
+_IDEOGRAPH_RUN = re.compile("[" + "".join(_IDEOGRAPH_OF) + "]+")
+
+
+def _is_kana(c: str) -> bool:
+    return "ァ" <= c <= "ー" and c not in _IDEOGRAPH_OF
+
+
+def _settle(m: re.Match) -> str:
+    """A run of signs that are kana or ideographs: kana beside other kana, else ideographs."""
+    a, b, whole = m.start(), m.end(), m.string
+    base = [_IDEOGRAPH_OF[c] for c in m.group()]
+    if (a and _is_kana(whole[a - 1])) or (b < len(whole) and _is_kana(whole[b])):
+        return "".join(_KANA_CLASS.get(c, c) for c in base)
+    return "".join(base)
+
+
 def one_script(text: str) -> str:
     """Letters that fit several scripts, in that of the other letters of their word; a word of such letters only follows the word before, or the next one where a sentence or line begins, else is Latin."""
     if _CYRILLIC.search(text) or _GREEK.search(text):
@@ -166,22 +179,7 @@ def one_script(text: str) -> str:
             at = m.end()
         text = "".join(parts) + text[at:]
     if not _IDEOGRAPH_OF.keys().isdisjoint(text):
-        chars = list(text)
-        kana = [("ァ" <= c <= "ヺ" or c == "ー") and c not in _IDEOGRAPH_OF for c in chars]
-        i = 0
-        while i < len(chars):
-            if chars[i] not in _IDEOGRAPH_OF:
-                i += 1
-                continue
-            j = i
-            while j < len(chars) and chars[j] in _IDEOGRAPH_OF:
-                j += 1
-            beside = (i > 0 and kana[i - 1]) or (j < len(chars) and kana[j])
-            for t in range(i, j):
-                base = _IDEOGRAPH_OF[chars[t]]
-                chars[t] = _KANA_CLASS.get(base, base) if beside else base
-            i = j
-        text = "".join(chars)
+        text = _IDEOGRAPH_RUN.sub(_settle, text)
     return text
 
 
@@ -192,16 +190,23 @@ class Rewriter:
         import ahocorasick
 
         self.first = {p[0] for p in patterns}
+        #: what begins a pattern, or is composed of it and marks; composed text without these stays as it is
+        self.bases = self.first | {unicodedata.normalize("NFC", b + chr(m)) for b in self.first for m in range(0x300, 0x345) if len(unicodedata.normalize("NFC", b + chr(m))) == 1}
         self.machine = ahocorasick.Automaton()
         for p, to in patterns.items():
             self.machine.add_word(p, (len(p), to))
         self.machine.make_automaton()
 
     def __call__(self, text: str) -> str:
-        if not text.isascii():
+        if text.isascii():
+            if self.first.isdisjoint(text):
+                return text
+        else:
+            if unicodedata.is_normalized("NFC", text) and self.bases.isdisjoint(text):
+                return one_script(text)
             text = unicodedata.normalize("NFD", text)
-        if self.first.isdisjoint(text):
-            return one_script(unicodedata.normalize("NFC", text))
+            if self.first.isdisjoint(text):
+                return one_script(unicodedata.normalize("NFC", text))
         shows = text.endswith("­")
         parts, at = [], 0
         for end, (n, to) in self.machine.iter_long(text):
