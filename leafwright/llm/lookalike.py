@@ -143,6 +143,7 @@ _AMBIGUOUS = frozenset(c for k, v in LETTERS.items() for c in k + v)
 _IDEOGRAPH_OF = {c: g[0] for g in IDEOGRAPHS for c in g}
 
 
+_SETTLED = re.compile("[Ѐ-ԯͰ-Ͽ" + "".join(_IDEOGRAPH_OF) + "]")
 _IDEOGRAPH_RUN = re.compile("[" + "".join(_IDEOGRAPH_OF) + "]+")
 
 
@@ -161,6 +162,8 @@ def _settle(m: re.Match) -> str:
 
 def one_script(text: str) -> str:
     """Letters that fit several scripts, in that of the other letters of their word; a word of such letters only follows the word before, or the next one where a sentence or line begins, else is Latin."""
+    if not _SETTLED.search(text):
+        return text
     if _CYRILLIC.search(text) or _GREEK.search(text):
         words, scripts = list(_RUN.finditer(text)), []
         for m in words:
@@ -192,6 +195,7 @@ class Rewriter:
         self.first = {p[0] for p in patterns}
         #: what begins a pattern, or is composed of it and marks; composed text without these stays as it is
         self.bases = self.first | {unicodedata.normalize("NFC", b + chr(m)) for b in self.first for m in range(0x300, 0x345) if len(unicodedata.normalize("NFC", b + chr(m))) == 1}
+        self.touched = re.compile("[" + "".join(map(re.escape, sorted(self.bases))) + "]") if self.bases else re.compile("(?!)")
         self.machine = ahocorasick.Automaton()
         for p, to in patterns.items():
             self.machine.add_word(p, (len(p), to))
@@ -202,7 +206,7 @@ class Rewriter:
             if self.first.isdisjoint(text):
                 return text
         else:
-            if unicodedata.is_normalized("NFC", text) and self.bases.isdisjoint(text):
+            if unicodedata.is_normalized("NFC", text) and not self.touched.search(text):
                 return one_script(text)
             text = unicodedata.normalize("NFD", text)
             if self.first.isdisjoint(text):
@@ -223,12 +227,13 @@ def code_points(texts: DataFrame, text: str = "text") -> dict[str, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
         for b in batches:
-            joined = "".join(x for x in b.column(0).to_pylist() if x)
-            n.update(joined if joined.isascii() else unicodedata.normalize("NFD", joined))
+            texts = [x for x in b.column(0).to_pylist() if x]
+            n.update("".join(x for x in texts if x.isascii()))
+            n.update(unicodedata.normalize("NFD", "".join(x for x in texts if not x.isascii())))
         kept = {k: v for k, v in n.items() if not "\ud800" <= k <= "\udfff"}
         yield pa.record_batch([pa.array(list(kept), type=pa.string()), pa.array(list(kept.values()), type=pa.int64())], names=["ch", "n"])
 
-    rows = texts.select(text).mapInArrow(count, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select(text).mapInArrow(count, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     return dict(zip(rows.ch, rows.n))
 
 
