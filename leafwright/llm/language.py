@@ -136,7 +136,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: list[str] | None = N
             yield pd.DataFrame({"lang": lang, "b": b, "n": t[b]})
             yield pd.DataFrame({"lang": lang, "b": -1 - np.arange(len(SCRIPTS)), "n": scripts[lang]})
 
-    got = picked.mapInPandas(count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n")).toPandas()
+    got = picked.mapInPandas(count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(got.lang.unique()) or ["und"]
     at = {x: i for i, x in enumerate(names)}
     counts, scripts = np.zeros((BUCKETS, len(names))), np.zeros((len(SCRIPTS), len(names)))

@@ -205,7 +205,7 @@ def train(rows: DataFrame, row_id: str = "elem_id", text: str = "canonical", kin
         for p in parts:
             yield pd.DataFrame({"x": pd.Series(list(_matrix(p[text])), dtype=object), "listed": p["listed"].to_numpy()})
 
-    got = picked.mapInPandas(measure, "x array<double>, listed boolean").toPandas()
+    got = picked.mapInPandas(measure, "x array<double>, listed boolean").toArrow().to_pandas()
     hx, hy = _matrix(pd.Series([t for t, _ in HOLDOUT])), np.array([int(k) for _, k in HOLDOUT])
     x = np.array(got.x.tolist(), dtype=float).reshape(len(got), len(NAMES))
     y = weak_label(x, got.listed.to_numpy(bool)) if len(got) else np.empty(0, int)
