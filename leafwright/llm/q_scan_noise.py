@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafwright.llm import lookalike, scan_noise
 from leafwright.plans.lineage import cut
@@ -29,10 +28,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repaired_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous, repaired paragraphs of every element that isn't page furniture."""
-    elements, _lines, words = _prepared(spark, sf_dir)
-    furniture = scan_noise.element_flags(elements, words).where(F.col("furniture").isNotNull())
-    return scan_noise.paragraphs(elements.dropDuplicates(["elem_id"]), furniture, words)
+    """Continuous, repaired paragraphs of every element and region that isn't page furniture, without the furniture between their lines."""
+    elements, lines, words = _prepared(spark, sf_dir)
+    flags, of_lines = cut(scan_noise.element_flags(elements, None)), cut(scan_noise.line_flags(lines, None))
+    return scan_noise.paragraphs(elements.dropDuplicates(["elem_id"]), lines, flags, of_lines, words)
 
 
 def queries() -> dict:

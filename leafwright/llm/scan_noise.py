@@ -258,17 +258,37 @@ def joined_lines(lines: list[str], words: Words) -> tuple[str, list[int], list[b
 
 
 INLINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬‐‑­] {1,2}(?=[^\W\d_])")
+INLINE_CUT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-¬‐‑­]) {1,2}(?=([^\W\d_]+))")
 
 
-def inline_cuts(text: str, words: Words) -> bool:
-    """Whether a text whose lines were joined by blanks has a word cut by a hyphen before a blank."""
+def inline_places(text: str, words: Words) -> list[tuple[int, int]]:
+    """(start, end) of the hyphens and blanks that cut words of a text whose lines were joined by blanks."""
+    out: list[tuple[int, int]] = []
     if not INLINE_HYPHEN.search(text):
-        return False
-    for m in re.finditer(r"([^\W\d_]+)([-¬‐‑­])[ ]{1,2}([^\W\d_]+)", text):
+        return out
+    before = ""
+    for m in INLINE_CUT.finditer(text):
         a, mark, b = m.groups()
+        if out and out[-1][1] == m.start():  # the middle of a word that is cut twice
+            a = before + a
         if (b[0].islower() or a.isupper()) and not CJK.match(b) and words.cut_word(a, b, mark) and (mark != "-" or (a + b).lower() in words.count or words.read((a + b).lower())[1] != (a + b).lower()):
-            return True
-    return False
+            out.append((m.start(2), m.start(3)))
+            before = a
+    return out
+
+
+def inline_cuts(text: str, words: Words) -> bool:
+    """Whether a text whose lines were joined by blanks has a word cut by a hyphen before a blank."""
+    return bool(inline_places(text, words))
+
+
+def without(text: str, places: list[tuple[int, int]]) -> str:
+    """A text without the given (start, end) places, which are in order and don't overlap."""
+    parts, at = [], 0
+    for a, b in places:
+        parts.append(text[at:a])
+        at = b
+    return "".join(parts) + text[at:]
 
 
 
@@ -316,20 +336,22 @@ _STOPS, _CLOSERS = frozenset(".!?。！？"), frozenset(".!?。！？")
 INNER_CAPITAL = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ] [A-ZÀ-ÖØ-ÞА-Я]")
 
 
-def line_candidates(text: str) -> tuple[list[str], bool]:
-    """Lines of a running text that may be furniture standing between its lines, and whether one is a page number for sure.
+def candidate_places(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of the lines of a running text that may be furniture standing between its lines, and of those that are page numbers for sure.
 
     In texts whose lines are joined by blanks: runs of words that begin with a capital inside a sentence, or stand between blanks in scripts without blanks.
     """
     lines = text.split("\n")
     if _STOPS.isdisjoint(text):
-        return [], False
+        return [], []
+    found: list[tuple[int, int]] = []
     if len(lines) > 2:
         sizes = [len(x) for x in lines]
         usual = sorted(sizes)[len(sizes) // 2]
         most = min(SHORT, 0.95 * usual) if len(lines) > 4 else SHORT
-        found, sure = [], False
+        sure, at = [], sizes[0] + 1
         for i in range(1, len(lines) - 1):
+            a, at = at, at + sizes[i] + 1
             if sizes[i] > most + 4 or sizes[i - 1] < 0.5 * usual - 4:
                 continue
             x = lines[i].strip()
@@ -337,30 +359,54 @@ def line_candidates(text: str) -> tuple[list[str], bool]:
                 continue
             number = len(x) <= 25 and is_number(x)
             if number:
-                sure = sure or (usual >= 12 and bool(DECORATED.search(x)) and not x.endswith("."))
+                if usual >= 12 and DECORATED.search(x) and not x.endswith("."):
+                    sure.append((a, at - 1))
             elif x[-1] not in _CLOSERS and not SENTENCE_END.search(x) and sum(map(str.isalpha, x)) >= 2:
-                found.append(x)
+                found.append((a, at - 1))
         return found, sure
-    found = []
     if len(lines) == 1 and " " in text:
         if len(CJK.findall(text)) > len(text) / 3:
             for m in re.finditer(r"(?<=\S) ([^\s。！？]{2,40}(?: [^\s。！？]{1,20})?) (?=\S)", text):
-                found += [m.group(1), m.group(1).split(" ")[0]]
+                found += [m.span(1), (m.start(1), m.start(1) + len(m.group(1).split(" ")[0]))]
         elif INNER_CAPITAL.search(text):
             words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
             for i in range(1, len(words)):
                 a = words[i][0]
                 before = text[words[i - 1][0] : words[i - 1][1]]
                 if text[a].isupper() and before.isalpha() and before.islower():
-                    found += [text[a : words[j][1]] for j in range(i, min(i + 9, len(words) - 1)) if text[words[j + 1][0]].islower()]
-    return found[:400], False
+                    found += [(a, words[j][1]) for j in range(i, min(i + 9, len(words) - 1)) if text[words[j + 1][0]].islower()]
+    return found[:400], []
+
+
+def line_candidates(text: str) -> tuple[list[str], bool]:
+    """The texts of `candidate_places`, and whether one is a page number for sure."""
+    found, sure = candidate_places(text)
+    return [text[a:b].strip() for a, b in found], bool(sure)
+
+
+def without_furniture(text: str, keys: frozenset[int]) -> str:
+    """A text without the page numbers that stand between its lines, and without the headers and footers there whose core is in `keys`."""
+    if not keys and "\n" not in text:
+        return text
+    found, sure = candidate_places(text)
+    places, at = [], 0
+    for a, b in sorted(sure + [(a, b) for a, b in found if keys and core(text[a:b]) and core_key(text[a:b]) in keys], key=lambda p: (p[0], -p[1])):  # the longest of a start
+        if a < at:
+            continue
+        at = b
+        if "\n" in text:  # a line with its break
+            at = b + 1
+        elif text[b : b + 1] == " ":  # one of the blanks around it, both between letters that need none
+            a, at = (a - 1, b + 1) if CJK.match(text[a - 2 : a - 1]) and CJK.match(text[b + 1 : b + 2]) else (a, b + 1)
+        places.append((a, at))
+    return without(text, places) if places else text
 
 
 FLAGS = "furniture string, core bigint, hyphen boolean, misread boolean, number_line boolean, candidates array<bigint>"
 
 
-def element_flags(elements: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
-    """Furniture, hyphen, misread and candidate lines of content elements. Null and empty texts have none.
+def element_flags(elements: DataFrame, words: Words | None, text: str = "canonical") -> DataFrame:
+    """Furniture, hyphen, misread and candidate lines of content elements. Null and empty texts have none. Without `words` only furniture is looked for.
 
     Wants elem_id, doc_id, page_index, reading_order, element_type, label, y0, y1 and the text. Repeated rows give repeated flags.
     """
@@ -379,9 +425,12 @@ def element_flags(elements: DataFrame, words: Words, text: str = "canonical") ->
                 kind, label = kind if isinstance(kind, str) else None, label if isinstance(label, str) else None
                 f = furniture_kind(t, kind, label, float(y0) if y0 is not None else None, int(top), int(bottom), int(n))
                 lines = t.split("\n")
-                stream, _sizes, cut = joined_lines(lines, w)
+                hyphen = misread = False
+                if w is not None:
+                    stream, _sizes, cut = joined_lines(lines, w)
+                    hyphen, misread = any(cut) or inline_cuts(t, w), bool(misread_places(stream, w))
                 found, number = line_candidates(t) if kind in (None, "text") and f is None else ([], False)
-                out.append((f, core_key(t) if f in ("header", "footer") else None, any(cut) or inline_cuts(t, w), bool(misread_places(stream, w)), number, list({core_key(x) for x in found if core(x)})))
+                out.append((f, core_key(t) if f in ("header", "footer") else None, hyphen, misread, number, list({core_key(x) for x in found if core(x)})))
             got = pd.DataFrame(out, columns=["furniture", "core", "hyphen", "misread", "number_line", "candidates"])
             got["core"] = pd.array([x[1] for x in out], dtype="Int64")  # never by way of a float
             got.insert(0, "reading_order", p.reading_order.to_numpy())
@@ -395,8 +444,8 @@ def element_flags(elements: DataFrame, words: Words, text: str = "canonical") ->
     return rows.select(*keep, "element_type", "label", "y0", "_top", "_bottom", "_rows", text).mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", " + FLAGS)
 
 
-def line_flags(lines: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
-    """Hyphen and misread of each recognised line, read in its region, and the key of lines inside a region that may be furniture.
+def line_flags(lines: DataFrame, words: Words | None, text: str = "canonical") -> DataFrame:
+    """Hyphen and misread of each recognised line, read in its region, and the key of lines inside a region that may be furniture. Without `words` only furniture is looked for.
 
     Wants line_id, doc_id, page_index, region_id, line_index and the text. Repeated lines count once; lines without a place are read alone.
     """
@@ -413,9 +462,9 @@ def line_flags(lines: DataFrame, words: Words, text: str = "canonical") -> DataF
         for s, e in zip(bounds, bounds[1:]):
             rows = [i for i in range(s, e) if i == s or ids[i] != ids[i - 1]]
             texts = [texts_all[i] for i in rows]
-            stream, sizes, cut = joined_lines(texts, w)
+            stream, sizes, cut = joined_lines(texts, w) if w is not None else ("", [], [False] * len(texts))
             bad = [False] * len(texts)
-            places = misread_places(stream, w)
+            places = misread_places(stream, w) if w is not None else []
             owner = [i for i, n in enumerate(sizes) for _ in range(n)] if places else []
             for a, b, reading in places:
                 touched = owner[a:b]
@@ -439,21 +488,28 @@ def line_flags(lines: DataFrame, words: Words, text: str = "canonical") -> DataF
     return grouped_arrow(lines.withColumn("_alone", alone).select("line_id", *keys, "line_index", text), keys, run, schema, order=["line_index", "line_id"], target_rows=20_000)
 
 
+def furniture_keys(elements: DataFrame) -> DataFrame:
+    """(doc_id, key) of the running headers and footers of documents, from the flags of elements."""
+    return elements.where("core IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", F.col("core").alias("key")).agg(F.count("*").alias("n"))
+
+
+def furniture_lines(elements: DataFrame, lines: DataFrame) -> DataFrame:
+    """line_id of recognised lines that are furniture, from the flags of elements and lines."""
+    inside = lines.where("inside IS NOT NULL").select("line_id", "doc_id", F.col("inside").alias("key")).join(furniture_keys(elements), ["doc_id", "key"], "left_semi").select("line_id")
+    places = elements.where("furniture IS NOT NULL").select("doc_id", "page_index", F.col("reading_order").alias("region_id"))
+    whole = lines.join(places, ["doc_id", "page_index", "region_id"], "left_semi").select("line_id")
+    return lines.where("number_line").select("line_id").unionByName(inside).unionByName(whole)
+
+
 def noise_rows(elements: DataFrame, lines: DataFrame) -> DataFrame:
     """(row_id, noise_kind) from the flags of elements and lines."""
     kind = lambda c, k: F.when(F.col(c) if isinstance(c, str) else c, F.lit(k))
-    keys = elements.where("core IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", F.col("core").alias("key")).agg(F.count("*").alias("n"))
     of_elements = elements.select(F.col("elem_id").alias("row_id"), F.explode(F.array(kind(F.col("furniture").isNotNull(), "furniture"), kind("hyphen", "hyphen"), kind("misread", "misread"), kind("number_line", "furniture_line"))).alias("noise_kind"))
     of_elements = of_elements.where("noise_kind IS NOT NULL")
-    stood = elements.where(F.size("candidates") > 0).select(F.col("elem_id").alias("row_id"), "doc_id", F.explode("candidates").alias("key")).join(keys, ["doc_id", "key"], "left_semi").select("row_id", F.lit("furniture_line").alias("noise_kind"))
-    of_lines = lines.select(F.col("line_id").alias("row_id"), F.explode(F.array(kind("hyphen", "hyphen"), kind("misread", "misread"), kind("number_line", "furniture"))).alias("noise_kind")).where("noise_kind IS NOT NULL")
-    inside = lines.where("inside IS NOT NULL").select(F.col("line_id").alias("row_id"), "doc_id", F.col("inside").alias("key")).join(keys, ["doc_id", "key"], "left_semi").select("row_id", F.lit("furniture").alias("noise_kind"))
-    places = elements.where("furniture IS NOT NULL").select("doc_id", "page_index", F.col("reading_order").alias("region_id"))
-    whole = lines.join(places, ["doc_id", "page_index", "region_id"], "left_semi").select(F.col("line_id").alias("row_id"), F.lit("furniture").alias("noise_kind"))
-    out = of_elements
-    for part in (stood, of_lines, inside, whole):
-        out = out.unionByName(part)
-    return out.distinct()
+    stood = elements.where(F.size("candidates") > 0).select(F.col("elem_id").alias("row_id"), "doc_id", F.explode("candidates").alias("key")).join(furniture_keys(elements), ["doc_id", "key"], "left_semi").select("row_id", F.lit("furniture_line").alias("noise_kind"))
+    of_lines = lines.select(F.col("line_id").alias("row_id"), F.explode(F.array(kind("hyphen", "hyphen"), kind("misread", "misread"))).alias("noise_kind")).where("noise_kind IS NOT NULL")
+    furniture = furniture_lines(elements, lines).select(F.col("line_id").alias("row_id"), F.lit("furniture").alias("noise_kind"))
+    return of_elements.unionByName(stood).unionByName(of_lines).unionByName(furniture).distinct()
 
 
 def paragraph_starts(lines: list[str]) -> list[int]:
@@ -500,6 +556,7 @@ def repaired(text: str, words: Words) -> list[str]:
     out = []
     for a, b in zip(starts, [*starts[1:], len(lines)]):
         stream, _sizes, _cut = joined_lines(lines[a:b], words)
+        stream = without(stream, inline_places(stream, words))
         parts, at = [], 0
         for s, e, reading in sorted(misread_places(stream, words)):
             was = stream[s:e]
@@ -512,17 +569,57 @@ def repaired(text: str, words: Words) -> list[str]:
     return out
 
 
-def paragraphs(elements: DataFrame, furniture: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
-    """(elem_id, doc_id, page_index, reading_order, paragraph, text) of all elements but page furniture (elem_id in `furniture`)."""
-    kept = elements.join(furniture.select("elem_id"), "elem_id", "left_anti").where(F.length(text) > 0)
+PARAGRAPHS = ("elem_id", "line_id", "doc_id", "page_index", "reading_order", "paragraph", "text")
+
+
+def element_paragraphs(elements: DataFrame, flags: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
+    """Repaired paragraphs of all elements but page furniture, without the furniture between their lines. `flags`: those of `element_flags`."""
+    stood = flags.where(F.size("candidates") > 0).select("elem_id", "doc_id", F.explode("candidates").alias("key")).join(furniture_keys(flags), ["doc_id", "key"], "left_semi")
+    drop = stood.groupBy("elem_id").agg(F.collect_set("key").alias("_drop"))
+    numbered = flags.groupBy("elem_id").agg(F.max(F.col("furniture").isNotNull()).alias("_furniture"), F.max("number_line").alias("_number"))
+    kept = elements.where(F.length(text) > 0).join(numbered, "elem_id", "left").where("NOT coalesce(_furniture, false)").join(drop, "elem_id", "left").withColumn("_number", F.coalesce("_number", F.lit(False)))
     shared = elements.sparkSession.sparkContext.broadcast(words)
 
     @cache
     def udf():
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in parts:
-                yield s.map(lambda t: repaired(t, shared.value), na_action="ignore")
+        def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for s, numbers, keys in parts:
+                yield pd.Series([repaired(without_furniture(t, frozenset() if k is None else frozenset(map(int, k))) if n or k is not None else t, shared.value) for t, n, k in zip(s, numbers, keys)], index=s.index, dtype=object)
 
         return F.pandas_udf(run, "array<string>")
 
-    return kept.select("elem_id", "doc_id", "page_index", "reading_order", F.posexplode(udf()(F.col(text))).alias("paragraph", "text"))
+    return kept.select("elem_id", F.lit(None).cast("bigint").alias("line_id"), "doc_id", "page_index", "reading_order", F.posexplode(udf()(F.col(text), "_number", "_drop")).alias("paragraph", "text"))
+
+
+def region_paragraphs(lines: DataFrame, furniture: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
+    """Repaired paragraphs of the recognised lines of each region, without those in `furniture` (line_id). Lines without a place stand alone.
+
+    `line_id` is the first line that is left of the region, `reading_order` the region.
+    """
+    alone = F.when(F.col("doc_id").isNull() | F.col("page_index").isNull() | F.col("region_id").isNull(), F.col("line_id"))
+    kept = lines.where(F.length(text) > 0).join(furniture.select("line_id"), "line_id", "left_anti").withColumn("_alone", alone)
+    shared = lines.sparkSession.sparkContext.broadcast(words)
+    types = dict(lines.dtypes)
+    keys = ["doc_id", "page_index", "region_id", "_alone"]
+
+    def run(t: pa.Table, starts) -> pa.Table:
+        ids, texts = t.column("line_id").to_pylist(), t.column(text).to_pylist()
+        first, number, out = [], [], []
+        bounds = [*starts.tolist(), t.num_rows]
+        for s, e in zip(bounds, bounds[1:]):
+            got = repaired("\n".join(texts[i] for i in range(s, e) if i == s or ids[i] is None or ids[i] != ids[i - 1]), shared.value)
+            first += [s] * len(got)
+            number += range(len(got))
+            out += got
+        got = t.take(pa.array(first, type=pa.int64())).select(["line_id", "doc_id", "page_index", "region_id"])
+        return got.append_column("paragraph", pa.array(number, type=pa.int32())).append_column("text", pa.array(out, type=pa.string()))
+
+    schema = ", ".join(f"{k} {types[k]}" for k in ("line_id", "doc_id", "page_index", "region_id")) + ", paragraph int, text string"
+    got = grouped_arrow(kept.select("line_id", *keys, "line_index", text), keys, run, schema, order=["line_index", "line_id"], target_rows=20_000)
+    return got.withColumn("elem_id", F.lit(None).cast("bigint")).withColumnRenamed("region_id", "reading_order").select(*PARAGRAPHS)
+
+
+def paragraphs(elements: DataFrame, lines: DataFrame, flags: DataFrame, of_lines: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
+    """Repaired paragraphs of elements (ids once) and of regions of recognised lines; `flags` and `of_lines` are those of `element_flags` and `line_flags`."""
+    regions = region_paragraphs(lines, furniture_lines(flags, of_lines), words, text)
+    return element_paragraphs(elements, flags, words, text).select(*PARAGRAPHS).unionByName(regions)

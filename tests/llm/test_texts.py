@@ -151,3 +151,17 @@ def test_residue(spark):
     got = {r.doc_id for r in residue.find(spark.createDataFrame(rows + rows[:2], DOC)).collect()}
     assert got == set(range(len(FOUND)))
     assert residue.find(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_inline_hyphens_are_joined():
+    assert scan_noise.repaired("the over- lapping page and the two- column order", WORDS) == ["the overlapping page and the two- column order"]
+    assert scan_noise.repaired("the over¬ lap¬ ping page", WORDS) == ["the overlapping page"]
+
+
+def test_paragraphs_without_noise(spark):
+    e = [(1, 7, 0, 0, "text", "header", 130.0, 150.0, "The old map"), (2, 7, 0, 1, "text", None, 400.0, 500.0, "the page and the order of the\nThe old map\noffice and the known page."), (3, 7, 0, 2, "text", None, 600.0, 700.0, "the known page and the The old map over- lapping order."), (4, 7, 0, 3, "text", None, 800.0, 900.0, "the page and the order of the\n- 12 -\noffice and the known page.")]
+    lines = [(101, 7, 0, 0, 0, "The old map"), (102, 7, 0, 1, 0, "the over-"), (103, 7, 0, 1, 1, "lapping pa9e and"), (104, None, None, None, None, None), (102, 7, 0, 1, 0, "the over-"), (105, None, None, None, 0, "the pa9e"), (106, 7, 0, 4, 0, "the page and the order of the"), (107, 7, 0, 4, 1, "The old map"), (108, 7, 0, 4, 2, "office and the known page.")]
+    elements, rec = spark.createDataFrame(e, ELEMENT), spark.createDataFrame(lines, LINE)
+    got = scan_noise.paragraphs(elements, rec, scan_noise.element_flags(elements, None), scan_noise.line_flags(rec, None), WORDS)
+    body = "the page and the order of the office and the known page."
+    assert {(r.elem_id, r.line_id, r.text) for r in got.collect()} == {(2, None, body), (3, None, "the known page and the overlapping order."), (4, None, body), (None, 102, "the overlapping page and"), (None, 105, "the page"), (None, 106, body)}
