@@ -60,9 +60,10 @@ class Words:
         self.unknown = math.log(self.total) + 4.0
         self.kept: dict[str, tuple[float, str]] = {}
         self.seen: dict[str, bool] = {}
+        self.strange: dict[str, bool] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}, "seen": {}}
+        return self.__dict__ | {"kept": {}, "seen": {}, "strange": {}}
 
     def cost(self, word: str) -> float:
         n = self.count.get(word, 0)
@@ -123,6 +124,17 @@ class Words:
                 self.seen[piece] = got
         return got
 
+    def unread(self, piece: str) -> bool:
+        """Whether some word of a piece between blanks isn't in the word list, so that it may be two words or half of one. Remembered by piece."""
+        got = self.strange.get(piece)
+        if got is None:
+            got = any(t.strip("!(+|$)") not in self.count for _a, _b, t in tokens_of(piece))
+            if len(self.strange) > 300_000:
+                self.strange.clear()
+            if len(piece) <= 40:
+                self.strange[piece] = got
+        return got
+
     def split(self, token: str) -> tuple[float, str]:
         """Cheapest reading of a token as two known words run together."""
         best = (math.inf, token)
@@ -134,8 +146,8 @@ class Words:
                     best = (c, token[:i] + " " + token[i:])
         return best
 
-    def decode(self, tokens: list[str]) -> list[tuple[int, int, str, str]]:
-        """Viterbi over a token stream: (first, last + 1, kind, reading); kinds: same, confusion, split, merge."""
+    def decode(self, tokens: list[str], apart: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, int, str, str]]:
+        """Viterbi over a token stream: (first, last + 1, kind, reading); kinds: same, confusion, split, merge. Tokens in `apart` aren't merged with the next."""
         n = len(tokens)
         cost, back = [0.0] + [math.inf] * n, [("", 0, "")] * (n + 1)
         for i, t in enumerate(tokens):
@@ -144,7 +156,7 @@ class Words:
             if t not in self.count:
                 if len(t) >= 4 and t.isalpha():
                     options.append((i + 1, *_as(self.split(t), "split")))
-                if i + 1 < n and tokens[i + 1].isalpha() and t.isalpha():
+                if i + 1 < n and i not in apart and tokens[i + 1].isalpha() and t.isalpha():
                     m = self.count.get(t + tokens[i + 1], 0)
                     if m:
                         options.append((i + 2, math.log(self.total / m) + 3.0, "merge", t + tokens[i + 1]))
@@ -214,25 +226,63 @@ def tokens_of(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def misread_places(text: str, words: Words) -> list[tuple[int, int, str]]:
-    """(start, end, reading) of words of a de-lined stream that were misread, and of full stops (reading 。)."""
-    out = [(m.start(1), m.end(1), "。") for m in STOP_MISREAD.finditer(text)] if CJK.search(text) else []
-    if not any([words.doubtful(x) for x in text.split()]):
-        return out
+def decoded_places(text: str, words: Words) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, reading) of the confusions, splits and merges of a de-lined stream. Splits and merges keep the letters as they stand."""
     toks = tokens_of(text)
     known = words.count
-    forms = []
-    for _a, _b, t in toks:
+    forms, spans = [], []
+    for a, b, t in toks:
         inner = t.strip("!(+|$)")
-        forms.append(inner if inner != t and (inner in known or not inner) else t)
-    if sum(words.read(f)[1] in known for f in forms) < 0.6 * len(forms):
-        return out  # machine data and junk have no words to misread
-    for i, _j, kind, w in words.decode(forms):
+        if inner == t or not (inner in known or not inner or (inner.isalpha() and words.read(t)[1] == t and words.split(inner)[0] < words.unknown)):
+            inner = t
+        at = a + t.find(inner)
+        forms.append(inner)
+        spans.append((at, at + len(inner)) if inner else (a, b))
+    apart = {i for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] > 2 or text[toks[i][1] : toks[i + 1][0]].strip() or spans[i][1] != toks[i][1] or spans[i + 1][0] != toks[i + 1][0]}
+    path = words.decode(forms, apart)
+    if sum(j - i for i, j, kind, w in path if kind == "split" or w in known) < 0.6 * len(forms):
+        return []  # machine data and junk have no words to misread
+    out = []
+    for i, j, kind, w in path:
+        a, b = spans[i][0], spans[j - 1][1]
         if kind == "confusion":
-            out.append((toks[i][0], toks[i][1], w))
+            out.append((a, b, kind, w))
+        elif kind == "split":
+            k = a + w.index(" ")
+            out.append((a, b, kind, text[a:k] + " " + text[k:b]))
+        elif kind == "merge":
+            out.append((a, b, kind, "".join(text[a:b].split())))
     return out
 
 
+def stop_places(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, 。) of misread full stops."""
+    return [(m.start(1), m.end(1), "。") for m in STOP_MISREAD.finditer(text)] if CJK.search(text) else []
+
+
+def misread_places(text: str, words: Words) -> list[tuple[int, int, str]]:
+    """(start, end, reading) of words of a de-lined stream that were misread, and of full stops (reading 。)."""
+    out = stop_places(text)
+    if any([words.doubtful(x) for x in text.split()]):  # no confusion without one
+        out += [(a, b, w) for a, b, kind, w in decoded_places(text, words) if kind == "confusion"]
+    return out
+
+
+def reread(text: str, words: Words) -> str:
+    """A de-lined stream with its misread words and full stops replaced (case kept where the word had one), words run together split and broken ones merged."""
+    places = [(a, b, "stop", w) for a, b, w in stop_places(text)]
+    if any(words.doubtful(x) or words.unread(x) for x in text.split()):
+        places += decoded_places(text, words)
+    parts, at = [], 0
+    for a, b, kind, w in sorted(places):
+        was = text[a:b]
+        if kind == "confusion":
+            w = w.upper() if was.isupper() and len(was) > 1 else w.capitalize() if was[:1].isupper() else w
+        parts += [text[at:a], w]
+        at = b
+    return "".join(parts) + text[at:]
+
+
 def joined_lines(lines: list[str], words: Words) -> tuple[str, list[int], list[bool]]:
     """De-lined stream of a region, the length of each line in it, and which lines end with a word cut by a hyphen.
 
@@ -550,20 +600,13 @@ def paragraph_starts(lines: list[str]) -> list[int]:
 
 
 def repaired(text: str, words: Words) -> list[str]:
-    """Continuous paragraphs of an element: boundaries, hyphens joined, misread words and full stops replaced (case kept where the word had one)."""
+    """Continuous paragraphs of an element: boundaries, hyphens joined, words reread."""
     lines = text.split("\n")
     starts = paragraph_starts(lines) if len(lines) <= 2000 else list(range(len(lines)))
     out = []
     for a, b in zip(starts, [*starts[1:], len(lines)]):
         stream, _sizes, _cut = joined_lines(lines[a:b], words)
-        stream = without(stream, inline_places(stream, words))
-        parts, at = [], 0
-        for s, e, reading in sorted(misread_places(stream, words)):
-            was = stream[s:e]
-            upper = was.isupper() and len(was) > 1
-            parts += [stream[at:s], reading.upper() if upper else reading.capitalize() if was[:1].isupper() else reading]
-            at = e
-        p = ("".join(parts) + stream[at:]).strip()
+        p = reread(without(stream, inline_places(stream, words)), words).strip()
         if p:
             out.append(p)
     return out

@@ -165,3 +165,11 @@ def test_paragraphs_without_noise(spark):
     got = scan_noise.paragraphs(elements, rec, scan_noise.element_flags(elements, None), scan_noise.line_flags(rec, None), WORDS)
     body = "the page and the order of the office and the known page."
     assert {(r.elem_id, r.line_id, r.text) for r in got.collect()} == {(2, None, body), (3, None, "the known page and the overlapping order."), (4, None, body), (None, 102, "the overlapping page and"), (None, 105, "the page"), (None, 106, body)}
+
+
+def test_words_run_together_or_broken_are_repaired():
+    assert scan_noise.repaired("Thepage and the overl apping order", WORDS) == ["The page and the overlapping order"]
+    assert scan_noise.repaired("the known (thepage) and the overl\napping pa9e", WORDS) == ["the known (the page) and the overlapping page"]
+    for text in ("the page and the overl, apping order", "the page and the overl 12 apping order", "the page and Karloth of the order"):
+        assert scan_noise.repaired(text, WORDS) == [text]
+    assert scan_noise.misread_places("Thepage and the overl apping order", WORDS) == []
