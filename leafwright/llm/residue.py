@@ -79,6 +79,7 @@ DIGIT = re.compile(r"\d")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+_ENDS = (".", "!", "?", "。", "！", "？")  # what END asks for
 _QUOTES = frozenset("“„「『‘\"«")
 _FAILED_HINTS = ("undefined", "NaN", "null", "None", "#REF", "#N/A", "#VALUE", "#NAME", "#DIV", "[object", "XXXX", "某某", "〇〇", "○○")
 _BRACKETS = frozenset("[<【〔(（")
@@ -189,28 +190,39 @@ def is_filler(paragraph: str) -> bool:
 
 def sentence_key(s: str) -> int:
     """Hash of the end of a sentence without its numbers: what goes before may be a title run into it."""
-    return xxhash.xxh64_intdigest(re.sub(r"\d+", "0", s).casefold()[-24:].encode()) - (1 << 63)
+    end = s[-24:]
+    if DIGIT.search(end):
+        end = re.sub(r"\d+", "0", s)
+    return xxhash.xxh64_intdigest(end.casefold()[-24:].encode()) - (1 << 63)
 
 
-def responses(t: str, structure: bool, title: str | None) -> tuple[bool, list[tuple[int, bool, bool]]]:
-    """(c): whether a running text holds nothing but possible responses, a title and navigation; and (key, taken without evidence, reads like a message) of its sentences.
-
-    Where it holds more, only the keys of sentences that read like messages come back.
-    """
-    t = t.strip()
-    if not t or not hinted("message", t.lower()) and not CODE.search(t):
-        return False, []
-    pieces = []
+def sentences_of(t: str) -> Iterator[str]:
+    """Sentences and lines of a text; in scripts without blanks also the pieces between blanks."""
     for s in SENTENCE.split(t):
         s = s.strip()
         if not s:
             continue
-        wide = sum("぀" <= c <= "힯" for c in s)
-        pieces += [x for x in s.split() if x] if wide > len(s) / 2 and " " in s and not re.search(r"[가-힯]", s) else [s]
+        if " " in s and not s.isascii() and sum("぀" <= c <= "힯" for c in s) > len(s) / 2 and not re.search(r"[가-힯]", s):
+            yield from s.split()
+        else:
+            yield s
+
+
+def without_mentions(s: str) -> str:
+    return QUOTED.sub('""', s) if s[0] not in "{[" and not _QUOTES.isdisjoint(s) and 'File "' not in s else s
+
+
+def responses(t: str, structure: bool, title: str | None) -> tuple[bool, list[tuple[int, bool, bool]]]:
+    """(c): whether a running text holds nothing but possible responses, a title and navigation; and (key, status line, reads like a message) of its sentences."""
+    t = t.strip()
+    if not t:
+        return False, []
+    pieces = list(sentences_of(t))
+    if not hinted("message", t.lower()) and not CODE.search(t):
+        return False, [(sentence_key(x), False, False) for x in map(without_mentions, pieces) if len(x) > 3 and x.rstrip("\"')]").endswith(_ENDS)]
     keyed, loose, other, hits = [], 0, 0, 0
     for s in pieces:
-        if s[0] not in "{[" and 'File "' not in s:
-            s = QUOTED.sub('""', s)
+        s = without_mentions(s)
         hint = hinted("message", s.lower())
         status = bool((hint or CODE.search(s)) and STATUS.search(s))
         if not status and NAV.match(s):
@@ -229,30 +241,28 @@ def responses(t: str, structure: bool, title: str | None) -> tuple[bool, list[tu
         terms = {w for w in WORDS.findall(title.lower()) if len(w) > 3}
         body = set(WORDS.findall(" ".join(x for x in pieces if END.search(x) and not STATUS.search(x) and not STOCK_ERROR.search(x)).lower()))
         bare = not (terms and len(terms & body) > len(terms) / 2)
-    if not bare:
-        return False, [k for k in keyed if k[2]]
-    return True, [(k, status or not stock, stock) for k, status, stock in keyed]
+    return bare, keyed
 
 
-EVIDENCE = "doc_id bigint, source string, residue boolean, bare boolean, keys array<struct<key:bigint,status:boolean,stock:boolean>>"
+EVIDENCE = "doc_id bigint, source string, residue boolean, bare boolean, keys array<struct<key:bigint,status:boolean,stock:boolean>>, others array<bigint>"
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """What each document's own text says: residue of kind a or b, bare, and sentence keys."""
+    """What each document's own text says: residue of kind a or b, bare, and the keys of its sentences; `others` are those of a document that isn't bare that don't read like messages."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for doc, source, title, text in zip(p.doc_id, p.source, p.title, p.text):
                 if not isinstance(text, str) or not text.strip():
-                    rows.append((doc, source, False, False, []))
+                    rows.append((doc, source, False, False, [], []))
                     continue
                 t, structure = running_text(text)
                 plain = unquoted(t)
                 residue = has_template(plain) or any(is_filler(x) for x in PARAGRAPH.split(plain))
                 bare, keys = responses(t, structure, title)
-                rows.append((doc, source, residue, bare, [{"key": k, "status": a, "stock": b} for k, a, b in keys]))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "residue", "bare", "keys"])
+                rows.append((doc, source, residue, bare, [{"key": k, "status": a, "stock": b} for k, a, b in keys if b or bare], [] if bare else list({k for k, _a, b in keys if not b})))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "residue", "bare", "keys", "others"])
 
     return docs.select("doc_id", "source", "title", "text").mapInPandas(run, EVIDENCE)
 
@@ -262,15 +272,15 @@ def find(docs: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
 
     A sentence is a response where it is held by `least` documents or more under two
     sources or more, at least `share` of them bare; a stock message where at least `share` of its documents
-    are bare; a status line or trace always. Beside as many of these, other sentences of a bare document need no
-    evidence. A bare document is found when all its sentences are responses and one reads like a message. Null and
+    are bare, however few they are; a status line or trace always. A bare document is found when all its sentences are responses and one reads like a message. Null and
     empty texts and null ids are never found; repeated rows are found once.
     """
     seen = cut(evidence(docs.where(F.col("doc_id").isNotNull())))
     keys = seen.select("doc_id", "source", "bare", F.explode("keys").alias("k")).select("doc_id", "source", "bare", "k.*")
-    held = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("bare").alias("n_bare"), F.min("source").alias("lo"), F.max("source").alias("hi"))
+    others = seen.select("source", "bare", F.explode("others").alias("key"))
+    held = keys.select("source", "bare", "key").unionByName(others).groupBy("key").agg(F.count("*").alias("n"), F.count_if("bare").alias("n_bare"), F.min("source").alias("lo"), F.max("source").alias("hi"))
     mostly = F.col("n_bare") >= share * F.col("n")
     many = mostly & (F.col("n_bare") >= least) & F.coalesce(F.col("lo") != F.col("hi"), F.lit(False))
-    judged = keys.where("bare").join(held, "key").withColumn("ok", F.when(F.col("stock"), mostly | F.col("status")).otherwise(many | F.col("status")))
+    judged = keys.where("bare").join(held, "key").withColumn("ok", F.when(F.col("stock"), mostly | F.col("status")).otherwise(many))
     bare = judged.groupBy("doc_id").agg(F.min("ok").alias("all_ok"), F.max("stock").alias("any_stock")).where("all_ok AND any_stock").select("doc_id")
     return seen.where("residue").select("doc_id").unionByName(bare).distinct()

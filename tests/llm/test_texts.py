@@ -173,3 +173,13 @@ def test_words_run_together_or_broken_are_repaired():
     for text in ("the page and the overl, apping order", "the page and the overl 12 apping order", "the page and Karloth of the order"):
         assert scan_noise.repaired(text, WORDS) == [text]
     assert scan_noise.misread_places("Thepage and the overl apping order", WORDS) == []
+
+
+def test_residue_wants_evidence_beside_messages(spark):
+    """A sentence beside a message counts as part of a response only where several sources hold it and it stands mostly in bare documents."""
+    known, once, content = "Reload the view when you are back online.", "The council met in May about the harbour.", "Ask the clerk in the hall for help."
+    rows = [(i, f"s{i % 2}", None, f"Access denied. {known}") for i in range(4)] + [(10, "s0", None, f"Access denied. {once}")]
+    rows += [(20 + i, f"s{i % 2}", None, f"Access denied. {content}") for i in range(3)] + [(30 + i, f"s{i % 2}", None, f"The harbour was closed in week {i}. {content}") for i in range(6)]
+    rows += [(40 + i, "s0", None, "Access denied. Return to the lobby by the stairs.") for i in range(4)]
+    got = {r.doc_id for r in residue.find(spark.createDataFrame(rows, "doc_id bigint, source string, title string, text string")).collect()}
+    assert got == set(range(4))
