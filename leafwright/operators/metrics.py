@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.plans.registry import Registry
@@ -29,21 +29,49 @@ def cosine(a: Column, b: Column) -> Column:
 PAIRS = f"""{LN}, c AS (SELECT *, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS t FROM ln), p AS (SELECT line_id, doc_id, t, lead(t) OVER (PARTITION BY doc_id, page_index, region_id ORDER BY line_index, line_id) AS g FROM c)"""
 
 
-def _pairs(spark, sf_dir):
-    """Each line with the next of its region, letters beyond ASCII left out, so that bytes and characters are the same."""
+def line_pairs(lines: DataFrame, text: Column) -> DataFrame:
+    """Each line, ids once, with the next of its region: `t` and `g`."""
     w = Window.partitionBy("doc_id", "page_index", "region_id").orderBy("line_index", "line_id")
-    lines = load(spark, sf_dir, "rec_results", "line_id", "doc_id", "page_index", "region_id", "line_index", "text").dropDuplicates(["line_id"])
-    return lines.withColumn("t", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")).withColumn("g", F.lead("t").over(w)).where("g IS NOT NULL")
+    return lines.dropDuplicates(["line_id"]).withColumn("t", text).withColumn("g", F.lead("t").over(w)).where("g IS NOT NULL")
+
+
+def _lines(spark, sf_dir):
+    return load(spark, sf_dir, "rec_results", "line_id", "doc_id", "page_index", "region_id", "line_index", "text")
+
+
+def _pairs(spark, sf_dir):
+    """Pairs with letters beyond ASCII left out, so that bytes and characters are the same and SQL can say it."""
+    return line_pairs(_lines(spark, sf_dir), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""))
+
+
+def distances(pairs: DataFrame) -> DataFrame:
+    return pairs.select("line_id", F.levenshtein("t", "g").alias("distance"))
+
+
+def mean_error_rates(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.round(F.avg(error_rate(F.col("t"), F.col("g"))), 9).alias("mean_cer"))
 
 
 @R.query("edit_distance", f"WITH {PAIRS} SELECT line_id, CAST(levenshtein(t, g) AS INT) AS distance FROM p WHERE g IS NOT NULL")
 def edit_distance(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("line_id", F.levenshtein("t", "g").alias("distance"))
+    return distances(_pairs(spark, sf_dir))
+
+
+@R.query("edit_distance_whole")
+def edit_distance_whole(spark, sf_dir):
+    """Distance in code points of whole texts, whatever their script."""
+    return distances(line_pairs(_lines(spark, sf_dir), F.coalesce("text", F.lit(""))))
 
 
 @R.query("cer_pairs", f"WITH {PAIRS} SELECT doc_id, count(*) AS pairs, round(avg(CASE WHEN length(t) = 0 THEN CASE WHEN length(g) = 0 THEN 0 ELSE 1 END ELSE least(1, levenshtein(t, g) / CAST(length(t) AS DOUBLE)) END), 9) AS mean_cer FROM p WHERE g IS NOT NULL GROUP BY doc_id")
 def cer_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.round(F.avg(error_rate(F.col("t"), F.col("g"))), 9).alias("mean_cer"))
+    return mean_error_rates(_pairs(spark, sf_dir))
+
+
+@R.query("cer_pairs_whole")
+def cer_pairs_whole(spark, sf_dir):
+    """Error rate in code points of whole texts, whatever their script."""
+    return mean_error_rates(line_pairs(_lines(spark, sf_dir), F.coalesce("text", F.lit(""))))
 
 
 def _neighbours(spark, sf_dir):

@@ -174,3 +174,23 @@ def test_file_sources(spark, tmp_path):
     out = str(tmp_path / "out" / "d.md")
     files.write_each(spark.createDataFrame([(out, "hello")], "path string, content string"), "path", "content")
     assert open(out).read() == "hello"
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_whole_texts_are_measured(spark, tmp_path):
+    texts = ["书记打开信件", "书记打开信", "Секретарь", "Cекретарь", "été", "ete", "", "한국어 😀", None, "plain"]
+    spark.createDataFrame([(i, 1 + i // 5, 0, 0, i, t) for i, t in enumerate(texts)] * 2, "line_id bigint, doc_id bigint, page_index int, region_id int, line_index int, text string").write.parquet(f"{tmp_path}/rec_results.parquet")
+    pairs = {i: (texts[i] or "", texts[i + 1] or "") for i in (0, 1, 2, 3, 5, 6, 7, 8)}
+    got = {r.line_id: r.distance for r in metrics.queries()["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute_distance(*p) for i, p in pairs.items()}
+    rate = lambda t, g: min(1.0, brute_distance(t, g) / len(t)) if t else float(bool(g))
+    rows = {r.doc_id: (r.pairs, r.mean_cer) for r in metrics.queries()["cer_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert rows == {d: (4, pytest.approx(sum(rate(*pairs[i]) for i in pairs if 1 + i // 5 == d) / 4, abs=1e-8)) for d in (1, 2)}
