@@ -194,3 +194,10 @@ def test_whole_texts_are_measured(spark, tmp_path):
     rate = lambda t, g: min(1.0, brute_distance(t, g) / len(t)) if t else float(bool(g))
     rows = {r.doc_id: (r.pairs, r.mean_cer) for r in metrics.queries()["cer_pairs_whole"](spark, str(tmp_path)).collect()}
     assert rows == {d: (4, pytest.approx(sum(rate(*pairs[i]) for i in pairs if 1 + i // 5 == d) / 4, abs=1e-8)) for d in (1, 2)}
+
+
+def test_bench_summary_holds_all_pages(spark, tmp_path):
+    rows = [(d, p, *[float(p + k) for k in range(len(stats.STAGES))], float(10 * p + d)) for d in range(3) for p in range(8)]
+    spark.createDataFrame(rows * 2, "doc_id bigint, page_index int, " + ", ".join(f"{c} double" for c in stats.STAGES) + ", total_ms double").write.parquet(f"{tmp_path}/page_stats.parquet")
+    got = {r.case_id: (r.total_n, r.total_mean, r.mean_ocr_ms) for r in stats.queries()["bench_summary_whole"](spark, str(tmp_path)).collect()}
+    assert got == {p: (3, 10.0 * p + 1, p + 1.0) for p in range(8)}
