@@ -425,7 +425,7 @@ def candidate_places(text: str) -> tuple[list[tuple[int, int]], list[tuple[int,
                 before = text[words[i - 1][0] : words[i - 1][1]]
                 if text[a].isupper() and before.isalpha() and before.islower():
                     found += [(a, words[j][1]) for j in range(i, min(i + 9, len(words) - 1)) if text[words[j + 1][0]].islower()]
-    return found[:400], []
+    return found, []
 
 
 def line_candidates(text: str) -> tuple[list[str], bool]:
@@ -587,11 +587,11 @@ def paragraph_starts(lines: list[str]) -> list[int]:
     pay = [0.0]
     for i in range(n - 1):
         pay.append(pay[-1] + join(i))
+    least, first = math.inf, 0  # the cheapest start of a paragraph so far
     for j in range(1, n + 1):
-        for i in range(j):
-            c = best[i] + 2.0 + pay[j - 1] - pay[i]
-            if c < best[j] - 1e-9:
-                best[j], back[j] = c, i
+        if best[j - 1] - pay[j - 1] < least - 1e-9:
+            least, first = best[j - 1] - pay[j - 1], j - 1
+        best[j], back[j] = least + 2.0 + pay[j - 1], first
     starts, j = [], n
     while j:
         j = back[j]
@@ -602,7 +602,7 @@ def paragraph_starts(lines: list[str]) -> list[int]:
 def repaired(text: str, words: Words) -> list[str]:
     """Continuous paragraphs of an element: boundaries, hyphens joined, words reread."""
     lines = text.split("\n")
-    starts = paragraph_starts(lines) if len(lines) <= 2000 else list(range(len(lines)))
+    starts = paragraph_starts(lines)
     out = []
     for a, b in zip(starts, [*starts[1:], len(lines)]):
         stream, _sizes, _cut = joined_lines(lines[a:b], words)

@@ -183,3 +183,10 @@ def test_residue_wants_evidence_beside_messages(spark):
     rows += [(40 + i, "s0", None, "Access denied. Return to the lobby by the stairs.") for i in range(4)]
     got = {r.doc_id for r in residue.find(spark.createDataFrame(rows, "doc_id bigint, source string, title string, text string")).collect()}
     assert got == set(range(4))
+
+
+def test_long_texts_are_read_to_their_end():
+    text = "the Page of " * 500 + "the order The old map of the page."
+    assert "The old map" in scan_noise.line_candidates(text)[0]
+    got = scan_noise.repaired("the known over-\nlapping page\n" * 1500, WORDS)
+    assert "over-" not in "".join(got) and sum(x.count("overlapping") for x in got) == 1500
