@@ -136,11 +136,11 @@ def has_template(t: str) -> bool:
 #: Pieces, lower case, without one of which the slow patterns needn't be tried.
 HINTS = {
     "message": (
-        "javascript|java script|scripts|cookie|not found|be found|moved or removed|leads nowhere|denied|permission|try again|too many|slow down|expired|robot|back soon|went wrong|unexpected error|no backend|not supported|be loaded|nicht gefunden|verweigert|versuchen|abgelaufen|skripte|introuvable|accès|réessayer|encontrad|denegado|inténtelo|navegador|non esiste"
+        "script|allow them|cookie|not found|be found|moved or removed|leads nowhere|denied|permission|try again|too many|slow down|expired|robot|back soon|went wrong|unexpected error|no backend|not supported|be loaded|nicht gefunden|verweigert|versuchen|abgelaufen|skripte|introuvable|accès|réessayer|encontrad|denegado|inténtelo|navegador|non esiste"
         "|trovata|negato|riprovare|não foi|não existe|não encontr|negado|tente |gevonden|geweigerd|probeer|не найден|доступ|попытку|скрипт|不存在|拒绝|登录|脚本|请稍|频繁|内部错误|見つかりません|拒否|エラー|再度|スクリプト|찾을 수 없|권한이|다시 시도|오류|스크립트|너무 많|did not|timed out|http|error|status|bad request|unauthorized|payment|forbidden|not allowed|acceptable|timeout|time-out|conflict|gone|length required"
         "|payload|internal server|implemented|gateway|unavailable|warning:|notice:|parse error|traceback|file \"|exception|\n at|\tat |open stream|exhausted"
     ).split("|"),
-    "stock": "texte|faux|placeholder|sample text|content|your text|text text|body copy|dummy|текст|пример|hier steht|beispieltext|blindtext|write a short|내용이|텍스트|hier komt|voorbeeldtekst|segnaposto|il testo|di esempio|texto|占位|示例|正文|ダミー|テキスト".split("|"),
+    "stock": "texte|faux|placeholder|sample text|content|your text|text text|body copy|dummy|текст|пример|hier steht|beispieltext|blindtext|platzhaltertext|write a short|내용이|텍스트|hier komt|voorbeeldtekst|segnaposto|il testo|di esempio|texto|占位|示例|正文|ダミー|テキスト".split("|"),
     "latin": "lorem|ipsum|dolor|amet|consec|aliqu|cillum|fugi|nost|ullam|mollit|irur|velit|sint|duis|except".split("|"),
 }
 
@@ -166,9 +166,6 @@ def is_filler(paragraph: str) -> bool:
     if len(p) < 8 or "![" in p or p.startswith("|") or LIST.search(p) or p.startswith("#"):
         return False
     lower = p.lower()
-    pieces = lower.split()
-    if len(pieces) >= 8 and len(set(pieces)) > 0.5 * len(pieces) and not hinted("latin", lower) and not hinted("stock", lower):
-        return False
     words = WORDS.findall(lower)
     if len(words) >= 5 and sum(1 for _ in _machine("latin").iter(lower)) >= 0.25 * len(words):
         if sum(w.startswith(LATIN) and len(w) > 2 for w in words) >= 0.7 * len(words) and sum(w.startswith(tuple(HINTS["latin"])) for w in words) >= 0.25 * len(words):

@@ -190,3 +190,9 @@ def test_long_texts_are_read_to_their_end():
     assert "The old map" in scan_noise.line_candidates(text)[0]
     got = scan_noise.repaired("the known over-\nlapping page\n" * 1500, WORDS)
     assert "over-" not in "".join(got) and sum(x.count("overlapping") for x in got) == 1500
+
+
+def test_no_filter_loses_filler_or_messages():
+    assert residue.is_filler("Platzhaltertext. Platzhaltertext.")
+    assert residue.is_filler("Come in. Come in. Come in. Every other clerk reads letters about harbours, bridges, archives and old maps.")
+    assert residue.responses("This script is blocked.", False, None)[0]
