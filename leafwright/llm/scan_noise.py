@@ -4,7 +4,7 @@ Words are decoded over the de-lined stream of a region: a lattice lets each toke
 be read through confusions, be split, merge with the next one, or join it across a hyphen; the
 cheapest path under the corpus's word frequencies wins. Paragraph boundaries within a
 region are chosen by dynamic programming over its lines. Furniture is found by its place on
-the page, its shape and its repetition in the document.
+the page and its shape; that it repeats in the document isn't demanded.
 
 Scale: the word list holds words with at least one millionth of all tokens, so it has at
 most a million entries however large the corpus, and is counted with map-side combining.
