@@ -23,11 +23,14 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.plans.lineage import cut
+
 #: Letters of other scripts that look like the Latin letter they follow.
 LETTERS = {
     "A": "АΑ", "B": "ВΒ", "C": "С", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
@@ -90,30 +93,39 @@ def looks_like(ch: str) -> str | None:
     return None
 
 
+def sequences() -> tuple[str, ...]:
+    """Strings of several code points that some code point looks like: ligatures and numerals."""
+    return tuple(sorted({like for ch in map(chr, (*range(0x2160, 0x2180), *range(0xFB00, 0xFB50))) if (like := looks_like(ch)) and len(like) > 1}))
+
+
 def rewrites(frequency: dict[str, int]) -> dict[str, str]:
-    """Pattern -> its class's representative, for the code points of a corpus (canonically decomposed)."""
+    """Pattern -> its class's representative, for the strings and code points of a corpus (canonically decomposed). `frequency` holds the strings of `sequences` too."""
     classes = Classes()
     removed: list[str] = []
-    strings: dict[str, str] = {}
     for ch in frequency:
-        like = looks_like(ch)
+        like = looks_like(ch) if len(ch) == 1 else None
         if like == "":
             removed.append(ch)
-        elif like is not None and len(like) == 1:
-            classes.union(ch, like)
         elif like is not None:
-            strings[ch] = like
+            classes.union(ch, like)
     for latin, others in LETTERS.items():
         for o in others:
             classes.union(latin, o)
     for radical, ideograph in zip(RADICALS[::2], RADICALS[1::2]):
         classes.union(radical, ideograph)
     out: dict[str, str] = {}
-    for members in classes.members().values():
-        best = max(members, key=lambda m: (frequency.get(m, 0), -len(m), -ord(m)))
-        out |= {m: best for m in members if m != best}
-    for ch, like in strings.items():
-        out[ch] = "".join(out.get(c, c) for c in like)
+    strings: list[tuple[str, list[str]]] = []
+    groups = list(classes.members().values())
+    for members in groups:
+        best = max(members, key=lambda m: (frequency.get(m, 0), len(m), [-ord(c) for c in m]))
+        out |= {m: best for m in members if m != best and len(m) == 1}
+        if any(len(m) > 1 for m in members):
+            strings.append((best, members))
+    for best, members in strings:
+        spelled = "".join(out.get(c, c) for c in max(members, key=len))
+        out |= {m: spelled for m in members if len(m) == 1}
+        if len(best) == 1:  # written as one code point after all else
+            out[spelled] = best
     for ch in removed:
         out[ch] = ""
     out["\r\n"] = "\n"
@@ -123,7 +135,7 @@ def rewrites(frequency: dict[str, int]) -> dict[str, str]:
 
 
 _CYRILLIC, _GREEK = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽ]")
-_RUN = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
 _KANA_CLASS = {g[0]: next(c for c in g if "ァ" <= c <= "ー") for g in IDEOGRAPHS if any("ァ" <= c <= "ー" for c in g)}
 
 
@@ -165,9 +177,10 @@ def one_script(text: str) -> str:
     if not _SETTLED.search(text):
         return text
     if _CYRILLIC.search(text) or _GREEK.search(text):
+        text = unicodedata.normalize("NFD", text)  # an accent leaves its letter open to other scripts
         words, scripts = list(_RUN.finditer(text)), []
         for m in words:
-            own = [c for c in m.group() if c not in _AMBIGUOUS]
+            own = [c for c in m.group() if c not in _AMBIGUOUS and c.isalpha()]
             n = {"cyrillic": sum("Ѐ" <= c <= "ԯ" for c in own), "greek": sum("Ͱ" <= c <= "Ͽ" for c in own), "latin": sum(c < "ɐ" for c in own)}
             scripts.append(max(n, key=n.get) if any(n.values()) else None)
         following: list[str | None] = [None] * (len(words) + 1)
@@ -180,58 +193,87 @@ def one_script(text: str) -> str:
             known = script or (following[i] if opens else None) or known
             parts += [text[at : m.start()], m.group().translate(_TO[known])]
             at = m.end()
-        text = "".join(parts) + text[at:]
+        text = unicodedata.normalize("NFC", "".join(parts) + text[at:])
     if not _IDEOGRAPH_OF.keys().isdisjoint(text):
         text = _IDEOGRAPH_RUN.sub(_settle, text)
     return text
 
 
+@cache
+def _decomposed() -> tuple[tuple[str, str], ...]:
+    """Code points with a canonical decomposition, and it."""
+    return tuple((c, d) for c in map(chr, (*range(0xC0, 0x3400), *range(0xF900, 0xFB50), *range(0x11000, 0x12000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20))) if (d := unicodedata.normalize("NFD", c)) != c)
+
+
 class Rewriter:
-    """Greedy leftmost-longest rewriting of texts."""
+    """Greedy leftmost-longest rewriting of texts. Texts that are canonically equivalent get the same form."""
 
     def __init__(self, patterns: dict[str, str]) -> None:
         import ahocorasick
 
-        self.first = {p[0] for p in patterns}
-        #: what begins a pattern, or is composed of it and marks; composed text without these stays as it is
-        self.bases = self.first | {unicodedata.normalize("NFC", b + chr(m)) for b in self.first for m in range(0x300, 0x345) if len(unicodedata.normalize("NFC", b + chr(m))) == 1}
-        self.touched = re.compile("[" + "".join(map(re.escape, sorted(self.bases))) + "]") if self.bases else re.compile("(?!)")
-        self.machine = ahocorasick.Automaton()
-        for p, to in patterns.items():
-            self.machine.add_word(p, (len(p), to))
-        self.machine.make_automaton()
+        joins = {p: to for p, to in patterns.items() if len(p) > 1 and len(to) == 1 and to.isalnum()}
+        first = {p[0] for p in patterns}
+        #: what begins a pattern, as it stands or once it is decomposed; composed text without these stays as it is
+        self.first = _any_of(first)
+        self.touched = _any_of(first | {c for c, d in _decomposed() if not first.isdisjoint(d)})
+        #: strings are spelled out by the first automaton, and those that are rarer than a code point joined by the second
+        self.machines = []
+        for step in (patterns.keys() - joins.keys(), joins.keys()):
+            machine = ahocorasick.Automaton()
+            for p in step:
+                machine.add_word(p, (len(p), patterns[p]))
+            machine.make_automaton()
+            self.machines += [machine] * bool(step)
+
+    def replaced(self, text: str) -> str:
+        for machine in self.machines:
+            parts, at = [], 0
+            for end, (n, to) in machine.iter_long(text):
+                parts.append(text[at : end - n + 1])
+                parts.append(to)
+                at = end + 1
+            parts.append(text[at:])
+            text = "".join(parts)
+        return text
 
     def __call__(self, text: str) -> str:
         if text.isascii():
-            if self.first.isdisjoint(text):
+            if not self.first.search(text):
                 return text
         else:
             if unicodedata.is_normalized("NFC", text) and not self.touched.search(text):
                 return one_script(text)
             text = unicodedata.normalize("NFD", text)
-            if self.first.isdisjoint(text):
+            if not self.first.search(text):
                 return one_script(unicodedata.normalize("NFC", text))
-        shows = text.endswith("­")
-        parts, at = [], 0
-        for end, (n, to) in self.machine.iter_long(text):
-            parts.append(text[at : end - n + 1])
-            parts.append(to)
-            at = end + 1
-        parts.append(text[at:])
-        return one_script(unicodedata.normalize("NFC", "".join(parts) + "-" * shows))
+        return one_script(unicodedata.normalize("NFC", self.replaced(text) + "-" * text.endswith("­")))
+
+
+def _any_of(chars: set[str]) -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, sorted(chars))) + "]") if chars else re.compile("(?!)")
 
 
 def code_points(texts: DataFrame, text: str = "text") -> dict[str, int]:
-    """How often each code point of the decomposed texts occurs. At most one row for each code point of Unicode reaches the driver."""
+    """How often each code point of the decomposed texts occurs, and each string of `sequences`. At most one row for each of them reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for x in sequences():
+            machine.add_word(x, x)
+        machine.make_automaton()
+        n = np.zeros(0x110000, dtype=np.int64)
+        strings: Counter[str] = Counter()
         for b in batches:
-            texts = [x for x in b.column(0).to_pylist() if x]
-            n.update("".join(x for x in texts if x.isascii()))
-            n.update(unicodedata.normalize("NFD", "".join(x for x in texts if not x.isascii())))
-        kept = {k: v for k, v in n.items() if not "\ud800" <= k <= "\udfff"}
-        yield pa.record_batch([pa.array(list(kept), type=pa.string()), pa.array(list(kept.values()), type=pa.int64())], names=["ch", "n"])
+            rows = [x for x in b.column(0).to_pylist() if x]
+            for t in ("\0".join(x for x in rows if x.isascii()), unicodedata.normalize("NFD", "\0".join(x for x in rows if not x.isascii()))):
+                got = np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32))
+                n[: len(got)] += got
+                strings.update(x for _end, x in machine.iter(t))
+        n[0] = 0
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array([*map(chr, at.tolist()), *strings], type=pa.string()), pa.array([*n[at].tolist(), *strings.values()], type=pa.int64())], names=["ch", "n"])
 
     rows = texts.select(text).mapInArrow(count, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     return dict(zip(rows.ch, rows.n))
@@ -253,20 +295,24 @@ def _form_udf(items: tuple[tuple[str, str], ...]):
         for s in parts:
             yield s.map(rewrite, na_action="ignore")
 
-    return F.pandas_udf(one_form, "string")
+    return F.pandas_udf(one_form, "string").asNondeterministic()  # else a filter on it would have it run twice
+
+
+#: Rows of one form in one document that one task pairs with all others of it.
+BLOCK = 1000
 
 
 def same_look_pairs(rows: DataFrame, group: str, row_id: str, text: str = "text", canonical: str = "canonical") -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of one group whose canonical forms are equal and whose texts aren't.
 
-    Ids count once. Rows without group, text or id, and texts that show nothing, have no partner. Texts travel as hashes;
-    groups of mere copies are dropped before the join, so only pairs of the result are made.
+    Ids count once. Rows without group, text or id, and texts that show nothing, have no partner. Texts travel as hashes, written once;
+    groups of mere copies are dropped before the join, so only pairs of the result are made. A form that a group holds
+    more than `BLOCK` times is joined in blocks, so that no task has all of its pairs.
     """
-    slim = rows.where(F.col(group).isNotNull() & F.col(row_id).isNotNull() & (F.length(canonical) > 0)).select(
-        F.col(group).alias("g"), F.col(row_id).cast("long").alias("id"), F.xxhash64(canonical).alias("c"), F.xxhash64(text, F.lit(1)).alias("t")
-    )
-    slim = slim.groupBy("g", "c", "t", "id").agg(F.count("*").alias("n")).drop("n")
-    varied = slim.groupBy("g", "c").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("g", "c")
-    kept = slim.join(varied, ["g", "c"], "left_semi")
-    a, b = kept.select("g", "c", F.col("t").alias("ta"), F.col("id").alias("id_a")), kept.select("g", "c", F.col("t").alias("tb"), F.col("id").alias("id_b"))
-    return a.join(b, ["g", "c"]).where("id_a < id_b AND ta <> tb").select("id_a", "id_b").distinct()
+    slim = rows.where(F.col(group).isNotNull() & F.col(row_id).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).cast("long").alias("id"), F.xxhash64(text, F.lit(1)).alias("t"), F.col(canonical).alias("_form"))
+    slim = cut(slim.where(F.length("_form") > 0).select("g", "id", "t", F.xxhash64("_form").alias("c"))).distinct()
+    varied = slim.groupBy("g", "c").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("g", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    kept = slim.join(varied, ["g", "c"])
+    a = kept.select("g", "c", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("t").alias("ta"), F.col("id").alias("id_a"))
+    b = kept.select("g", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("t").alias("tb"), F.col("id").alias("id_b"))
+    return a.join(b, ["g", "c", "block"]).where("id_a < id_b AND ta <> tb").select("id_a", "id_b").distinct()
