@@ -6,14 +6,15 @@ switching (smaller where a sentence ends) labels the words, and runs of one labe
 the segments.
 
 Scale: training counts are summed on the executors into a table of fixed size
-(2**15 x languages); labelling is a map without a shuffle. A word's score is kept per
-worker, in a table that is emptied when it grows beyond a fixed size.
+(2**15 x languages); labelling is a map without a shuffle, in which many texts step through
+Viterbi at once. A word's score is kept per worker, in a table that is emptied when it grows beyond a fixed size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -61,47 +62,95 @@ class Model:
 
     def __init__(self, languages: list[str], table: np.ndarray, allowed: np.ndarray) -> None:
         self.languages, self.table, self.allowed = languages, table.astype(np.float32), allowed
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.rows = np.empty((1024, len(self.languages)))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return {"languages": self.languages, "table": self.table, "allowed": self.allowed}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def score(self, unit: str) -> np.ndarray:
-        got = self.known.get(unit)
-        if got is None:
-            g = grams(unit)
-            got = self.table[g].sum(axis=0) * (SCALE * min(len(unit), 6) / len(g))
-            got = got - got.max()
-            allowed = self.allowed[script_of(unit)]
-            if allowed.any():
-                got = np.where(allowed, got, got.min() - 20.0)
-            if len(self.known) > _KEPT:
-                self.known.clear()
-            self.known[unit] = got
-        return got
+        """Score of a unit per language; the best is 0."""
+        g = grams(unit)
+        got = self.table[g].sum(axis=0) * (SCALE * min(len(unit), 6) / len(g))
+        got = got - got.max()
+        allowed = self.allowed[script_of(unit)]
+        return np.where(allowed, got, got.min() - 20.0) if allowed.any() else got
+
+    def scores(self, units: list[str]) -> np.ndarray:
+        """Scores of units, each remembered."""
+        row = self.row
+        if len(row) > _KEPT:
+            self._forget()
+            row = self.row
+        at = np.empty(len(units), dtype=np.int64)
+        for i, u in enumerate(units):
+            k = row.get(u)
+            if k is None:
+                k = row[u] = len(row)
+                if k == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+                self.rows[k] = self.score(u)
+            at[i] = k
+        return self.rows[at]
 
     def label(self, units: list[str], after_stop: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi path over the units, and their scores. `after_stop`: a sentence ended before the unit."""
-        s = np.array([self.score(u) for u in units])
-        n, k = s.shape
-        alone = int(s.sum(axis=0).argmax())
-        lead = np.zeros((n + 1, k))
-        np.cumsum(s - s[:, alone : alone + 1], axis=0, out=lead[1:])
-        if (lead - np.minimum.accumulate(lead, axis=0)).max() <= SWITCH_AT_STOP:  # no stretch gains as much as its cheapest switch costs
-            return np.full(n, alone), s
-        back = np.empty((n, k), dtype=np.int64)
-        best = s[0].copy()
-        for i in range(1, n):
-            top = best.argmax()
-            leave = best[top] - (SWITCH_AT_STOP if after_stop[i] else SWITCH)
-            stay = best >= leave
-            back[i] = np.where(stay, np.arange(k), top)
-            best = np.where(stay, best, leave) + s[i]
-        path = np.empty(n, dtype=np.int64)
-        path[-1] = best.argmax()
-        for i in range(n - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return path, s
+        return self.label_all([(units, after_stop)])[0]
+
+    def label_all(self, texts: list[tuple[list[str], list[bool]]], cells: int = 50_000) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`label` for many texts at once: those of like length step together, about `cells` units at a time."""
+        out: list = [None] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
+        k = len(self.languages)
+        at = 0
+        while at < len(order):
+            longest = len(texts[order[at]][0])
+            part = order[at : at + max(1, cells // max(1, longest))]
+            at += len(part)
+            if not longest:
+                out[part[0]] = (np.empty(0, dtype=np.int64), np.empty((0, k)))
+                at -= len(part) - 1
+                continue
+            sizes = np.array([len(texts[i][0]) for i in part])
+            s = np.zeros((longest, len(part), k))
+            cost = np.full((longest, len(part), 1), SWITCH)
+            for j, i in enumerate(part):
+                units, after = texts[i]
+                s[: len(units), j] = self.scores(units)
+                cost[: len(units), j, 0][np.asarray(after, dtype=bool)] = SWITCH_AT_STOP
+            stays = np.ones((longest, len(part), k), dtype=bool)
+            tops = np.empty((longest, len(part)), dtype=np.int64)
+            best = s[0].copy()
+            every = np.arange(len(part))
+            final = best.copy()
+            for i in range(1, longest):
+                m = int(np.searchsorted(-sizes, -i, side="left"))  # texts that reach this unit
+                if m < len(best):
+                    final[m : len(best)] = best[m:]
+                    best = best[:m]
+                top = best.argmax(axis=1)
+                leave = best[every[:m], top][:, None] - cost[i, :m]
+                stay = best >= leave
+                tops[i, :m], stays[i, :m] = top, stay
+                best = np.where(stay, best, leave) + s[i, :m]
+            final[: len(best)] = best
+            state = final.argmax(axis=1)
+            path = np.empty((longest, len(part)), dtype=np.int64)
+            for i in range(longest - 1, -1, -1):
+                m = int(np.searchsorted(-sizes, -i, side="left"))
+                path[i, :m] = state[:m]
+                if i:
+                    state[:m] = np.where(stays[i, every[:m], state[:m]], state[:m], tops[i, :m])
+            for j, i in enumerate(part):
+                out[i] = (path[: sizes[j], j], s[: sizes[j], j])
+        return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, languages: list[str] | None = None) -> Model:
@@ -149,33 +198,55 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: list[str] | None = N
     return Model(names, np.clip(logs, -6, 6), share >= 0.1)
 
 
+def _units(text: str) -> tuple[list[re.Match], np.ndarray, int, list[bool]]:
+    """Units of a text, how many sentences ended before each, how many end in all, and whether one ended just before."""
+    found = list(UNIT.finditer(text))
+    stops = [m.end() for m in STOP.finditer(text) if not (m.group() == "." and ENUMERATOR.search(text[max(0, m.start() - 6) : m.start()]))]
+    bounds = np.searchsorted(stops, [m.start() for m in found], side="right")
+    return found, bounds, len(stops), [False, *(bounds[1:] != bounds[:-1]).tolist()][: len(found)]
+
+
 def segments(model: Model, text: str) -> tuple[list[tuple[int, int, int, float]], list[tuple[int, int, int, float, bool]]]:
     """Segments (start, end, language, confidence) and sentences (..., ends with a stop) of a text.
 
     A sentence lies between stops and is cut where the language changes.
     """
-    found = list(UNIT.finditer(text))
-    if not found:
-        return [], []
-    units = [m.group() for m in found]
-    stops = [m.end() for m in STOP.finditer(text) if not (m.group() == "." and ENUMERATOR.search(text[max(0, m.start() - 6) : m.start()]))]
-    bounds = np.searchsorted(stops, [m.start() for m in found], side="right")
-    after = [False, *(bounds[1:] != bounds[:-1]).tolist()]
-    path, s = model.label(units, after)
-    cut = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+    return next(segments_all(model, [text]))
+
+
+def segments_all(model: Model, texts: Iterable[str], chars: int = 300_000) -> Iterator[tuple[list, list]]:
+    """`segments` of many texts, in parts of about `chars` characters."""
+    part: list = []
+    size = 0
+    for t in chain(texts, [None]):
+        if t is not None:
+            part.append(_units(t))
+            size += len(t)
+        if part and (t is None or size > chars):
+            paths = model.label_all([([m.group() for m in found], after) for found, _b, _n, after in part])
+            yield from (_spans(*r, *p) if r[0] else ([], []) for r, p in zip(part, paths))
+            part, size = [], 0
+
+
+def _spans(found: list[re.Match], bounds: np.ndarray, stops: int, after: list[bool], path: np.ndarray, s: np.ndarray) -> tuple[list, list]:
+    n = len(found)
+    turns = path[1:] != path[:-1]
+    cut = [0, *(np.flatnonzero(turns) + 1).tolist()]
     spans = []
-    for a, b in zip(cut, np.append(cut[1:], len(units))):
-        z = s[a:b].sum(axis=0)
-        z = np.exp(z - z.max())
-        spans.append((found[a].start(), found[b - 1].end(), int(path[a]), float(z[path[a]] / z.sum())))
-    cut = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | np.array(after[1:], dtype=bool)]))
+    sums = np.add.reduceat(s, cut, axis=0)
+    sums = np.exp(sums - sums.max(axis=1, keepdims=True))
+    for i, (a, b) in enumerate(zip(cut, [*cut[1:], n])):
+        k = int(path[a])
+        spans.append((found[a].start(), found[b - 1].end(), k, float(sums[i, k] / sums[i].sum())))
+    cut = [0, *(np.flatnonzero(turns | np.array(after[1:], dtype=bool)) + 1).tolist()]
     sentences = []
+    units = [m.group() for m in found]
     sizes = [len(u) for u in units]
     wide = [n if script_of(u) in (3, 4) else 0 for u, n in zip(units, sizes)]
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(units)]):
+    for a, b in zip(cut, [*cut[1:], n]):
         broad = sum(wide[a:b])
-        size = broad / 2 if 2 * broad > sum(sizes[a:b]) else sum(n > 1 for n in sizes[a:b])
-        closed = bool(b == len(units) or bounds[b] != bounds[b - 1]) and bool(bounds[b - 1] < len(stops))
+        size = broad / 2 if 2 * broad > sum(sizes[a:b]) else sum(x > 1 for x in sizes[a:b])
+        closed = bool(b == n or bounds[b] != bounds[b - 1]) and bool(bounds[b - 1] < stops)
         sentences.append((found[a].start(), found[b - 1].end(), int(path[a]), float(size), closed))
     return spans, sentences
 
@@ -199,8 +270,7 @@ def label_texts(rows: DataFrame, model: Model, text: str = "canonical") -> DataF
         m = shared.value
         for texts in parts:
             out = []
-            for t in texts:
-                spans, sentences = segments(m, t) if isinstance(t, str) and t else ([], [])
+            for spans, sentences in segments_all(m, (t if isinstance(t, str) else "" for t in texts)):
                 weight: dict[int, float] = {}
                 for a, b, k, c in spans:
                     weight[k] = weight.get(k, 0.0) + (b - a) * c

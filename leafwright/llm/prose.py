@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -193,13 +193,17 @@ def _matrix(texts: pd.Series) -> np.ndarray:
     return np.array([statistics(t if isinstance(t, str) else None) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
 
 
-def train(rows: DataFrame, row_id: str = "elem_id", text: str = "canonical", kind: str = "element_type", sample: int = SAMPLE) -> Trees:
+def train(rows: DataFrame, row_id: str = "elem_id", text: str = "canonical", kind: str = "element_type", sample: int = SAMPLE, form: Callable[[DataFrame], DataFrame] | None = None) -> Trees:
     """Trees trained on the weak labels of about `sample` rows of 40 characters and more, calibrated on the hand-checked holdout.
 
-    Where the rows give fewer than 20 labels of a class, the holdout is trained on as well.
+    `form` rewrites the sampled rows alone before they are measured. Where the rows give fewer than 20 labels of a class, the holdout is trained on as well.
     """
-    picked = rows.where((F.length(text) >= 40) & F.col(row_id).isNotNull())
-    picked = hash_sample(picked, row_id, sample).select(text, F.coalesce(F.col(kind) == "list", F.lit(False)).alias("listed"))
+    picked = rows.where((F.length(text) >= 40) & F.col(row_id).isNotNull()).select(F.col(row_id).alias("_id"), F.col(text).alias("text"), F.coalesce(F.col(kind) == "list", F.lit(False)).alias("listed"))
+    picked = hash_sample(picked, "_id", sample)
+    text = "text"
+    if form is not None:
+        picked, text = form(picked), "canonical"
+    picked = picked.select(text, "listed")
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.llm import language, lookalike, prose
+from leafwright.llm.q_prose import model_of
 from leafwright.sources import load
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
     rows = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "element_type", "text")
-    return lookalike.canonical_texts(rows, lookalike.rewrites(lookalike.code_points(rows)))
+    return rows, lookalike.rewrites(lookalike.code_points(rows))
 
 
 def _model(spark: SparkSession, sf_dir: str) -> language.Model:
@@ -33,7 +34,8 @@ def held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of one language in every element: element, position, language, confidence. Ids count once."""
-    rows = _elements(spark, sf_dir).dropDuplicates(["elem_id"]).where(F.length("canonical") > 0)
+    rows, patterns = _elements(spark, sf_dir)
+    rows = lookalike.canonical_texts(rows.dropDuplicates(["elem_id"]), patterns).where(F.length("canonical") > 0)
     got = language.label_texts(rows.select("elem_id", "doc_id", "canonical"), _model(spark, sf_dir))
     return got.select("elem_id", "doc_id", F.explode("spans").alias("s")).select("elem_id", "doc_id", "s.*")
 
@@ -49,12 +51,12 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = _elements(spark, sf_dir)
-    wanted = elements.where((F.col("element_type") == "text") & (F.length("text") >= 80)).select("elem_id", "doc_id", "canonical")
+    elements, patterns = _elements(spark, sf_dir)
+    wanted = lookalike.canonical_texts(elements.where((F.col("element_type") == "text") & (F.length("text") >= 80)).select("elem_id", "doc_id", "text"), patterns)
     got = language.label_texts(wanted, _model(spark, sf_dir)).select("elem_id", "doc_id", "canonical", "sentence_langs")
     jobs, langs = held(spark, sf_dir)
     extra = got.join(jobs, "doc_id", "left").withColumn("extra", F.array_except("sentence_langs", langs)).where(F.size("extra") > 0)
-    checked = prose.score(extra.select("elem_id", "extra", "canonical"), prose.train(elements), ["elem_id", "extra"]).where("is_prose")
+    checked = prose.score(extra.select("elem_id", "extra", "canonical"), model_of(elements, patterns), ["elem_id", "extra"]).where("is_prose")
     return checked.select("elem_id", F.explode("extra").alias("lang")).distinct()
 
 

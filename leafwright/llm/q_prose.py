@@ -9,16 +9,20 @@ from leafwright.llm import lookalike, prose
 from leafwright.sources import load
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_of(rows: DataFrame, patterns: dict[str, str]) -> prose.Trees:
+    """The trees of elements with a column text; only the sample is rewritten."""
+    return prose.train(rows, text="text", form=lambda r: lookalike.canonical_texts(r, patterns))
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
     rows = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "element_type", "text")
-    return lookalike.canonical_texts(rows, lookalike.rewrites(lookalike.code_points(rows)))
+    return rows, lookalike.rewrites(lookalike.code_points(rows))
 
 
 def element_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and prose decision of every element. Ids count once; null texts give zeros."""
-    rows = _elements(spark, sf_dir)
-    model = prose.train(rows)
-    return prose.score(rows.dropDuplicates(["elem_id"]), model, ["elem_id", "doc_id", "element_type"])
+    rows, patterns = _elements(spark, sf_dir)
+    return prose.score(lookalike.canonical_texts(rows.dropDuplicates(["elem_id"]), patterns), model_of(rows, patterns), ["elem_id", "doc_id", "element_type"])
 
 
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +37,9 @@ def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _elements(spark, sf_dir)
-    model = prose.train(rows)
-    wanted = rows.where((F.col("element_type") == "text") & (F.length("text") >= 80))
-    return prose.score(wanted, model, ["elem_id"]).where(~F.col("is_prose")).select("elem_id").distinct()
+    rows, patterns = _elements(spark, sf_dir)
+    wanted = lookalike.canonical_texts(rows.where((F.col("element_type") == "text") & (F.length("text") >= 80)), patterns)
+    return prose.score(wanted, model_of(rows, patterns), ["elem_id"]).where(~F.col("is_prose")).select("elem_id").distinct()
 
 
 def queries() -> dict:
