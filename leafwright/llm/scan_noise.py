@@ -1,32 +1,37 @@
 """Noise of scanned pages: running headers and page numbers, hyphens at line ends, misread characters.
 
-Words are decoded over the de-lined stream of a region: a lattice lets each token stand,
-be read through confusions, be split, merge with the next one, or join it across a hyphen; the
-cheapest path under the corpus's word frequencies wins. Paragraph boundaries within a
+Words are decoded over the characters of a region, its line ends taken as blanks: one lattice
+lets every stretch between breaks be read through confusions, fall into two words, merge with the next one
+over a blank, or join it over a hyphen, and any of these together; the cheapest path under the
+corpus's word frequencies wins, and tells hyphens and misread characters alike. Paragraph boundaries within a
 region are chosen by dynamic programming over its lines. Furniture is found by its place on
 the page and its shape; that it repeats in the document isn't demanded.
 
 Scale: the word list holds words with at least one millionth of all tokens, so it has at
 most a million entries however large the corpus, and is counted with map-side combining.
-Positions are ranked per page; furniture strings meet candidate lines in an equi-join on document
-and hash. A region's lines are the largest group that one task holds.
+Positions are ranked per page over distinct elements, an element without a page being a page of its own; furniture strings meet candidate lines in an equi-join on document
+and hash. A region's lines and a page's elements are the largest groups that one task holds.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.plans.arrow_groups import grouped_arrow
+from leafwright.plans.lineage import cut
 
 LEAST_SHARE = 1e-6
 LEAST_COUNT = 3
@@ -40,8 +45,11 @@ CONFUSIONS = {
     "0": "o", "1": "l i", "!": "i l", "|": "l i", "+": "t", "(": "c", "9": "g", "5": "s", "6": "b é ó", "8": "b", "3": "e", "$": "s", "@": "a", "€": "e", "£": "e",
     "c": "e", "ri": "n", "cl": "d", "ii": "u ü", "rn": "m", "vv": "w", "b": "h", "h": "b", "t": "f", "f": "t", "v": "y", "m": "in rn", "i": "l", "l": "i", "ni": "m", "li": "h", "nn": "m", "q": "g", "iii": "m",
 }
-_PAIRS = tuple((seen, real) for seen, reals in CONFUSIONS.items() for real in reals.split())
+#: What a character begins: (seen, what it may stand for).
+_FROM = {c: tuple((seen, tuple(reals.split())) for seen, reals in CONFUSIONS.items() if seen[0] == c) for c in {seen[0] for seen in CONFUSIONS}}
 _SYMBOL, _LETTER = 3.0, 4.0
+#: What a hyphen that must have cut a word saves, so that the halves don't stand alone.
+_CUT = 40.0
 HYPHEN_END = re.compile(r"([^\W\d_]+)([-¬‐‑­])[ ]?$")
 STOP_MISREAD = re.compile(r"(?<=[぀-ヿ㐀-鿿])\n?([oO0•°˚])(?=\n?[぀-ヿ㐀-鿿]|\s*$|\n|\s*\()")
 SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]]*\s*$")
@@ -58,108 +66,134 @@ class Words:
     def __init__(self, count: dict[str, int], compounds: dict[str, int], total: int) -> None:
         self.count, self.compounds, self.total = count, compounds, max(total, 1)
         self.unknown = math.log(self.total) + 4.0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ordered: list[str] = []
         self.kept: dict[str, tuple[float, str]] = {}
-        self.seen: dict[str, bool] = {}
-        self.strange: dict[str, bool] = {}
+        self.parts: dict[str, tuple[float, str]] = {}
+        self.sure: set[str] = set()
+        self.known: set[str] = set()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}, "seen": {}, "strange": {}}
+        return {"count": self.count, "compounds": self.compounds, "total": self.total, "unknown": self.unknown}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def cost(self, word: str) -> float:
         n = self.count.get(word, 0)
         return math.log(self.total / n) if n else self.unknown + (3.0 if any(not c.isalpha() for c in word) else 0.0)
 
+    def begins(self, start: str) -> bool:
+        """Whether a known word begins so."""
+        if not self.ordered:
+            self.ordered = sorted(self.count)
+        i = bisect_left(self.ordered, start)
+        return i < len(self.ordered) and self.ordered[i].startswith(start)
+
     def read(self, token: str) -> tuple[float, str]:
-        """Cheapest reading of one token (lower case) through at most three confusions: (cost, word)."""
+        """Cheapest reading of one token (lower case) through at most three confusions: (cost, word).
+
+        Readings are followed only as far as some known word begins like them, so tokens of any length are read exactly.
+        """
         got = self.kept.get(token)
         if got is not None:
             return got
         best = (self.cost(token), token)
-        if best[0] > 5.0 and 1 < len(token) <= 40:
-            places = [(i, seen, real) for seen, real in _PAIRS for i in range(len(token) - len(seen) + 1) if token.startswith(seen, i)]
-            layer: dict[str, float] = {}
+        if best[0] > 5.0 and len(token) > 1:
+            n = len(token)
             stack = [(0, "", 0, 0.0)]
-            by: dict[int, list[tuple[str, str]]] = {}
-            for i, seen, real in places:
-                by.setdefault(i, []).append((seen, real))
-            if len(places) <= 24:
-                while stack:
-                    i, out, used, pay = stack.pop()
-                    if i == len(token):
-                        if used:
-                            layer[out] = min(pay, layer.get(out, 99.0))
-                        continue
+            while stack:
+                i, out, used, pay = stack.pop()
+                if i == n:
+                    k = self.count.get(out, 0) if used and len(out) > 1 else 0
+                    if k:
+                        c = math.log(self.total / k) + pay + (2.0 if len(out) < 4 else 0.0)
+                        if c < best[0]:
+                            best = (c, out)
+                    continue
+                for seen, reals in _FROM.get(token[i], ()) if used < 3 else ():
+                    if token.startswith(seen, i):
+                        for real in reals:
+                            if self.begins(out + real):
+                                stack.append((i + len(seen), out + real, used + 1, pay + (_LETTER if seen.isalpha() else _SYMBOL)))
+                if self.begins(out + token[i]):
                     stack.append((i + 1, out + token[i], used, pay))
-                    if used < 3:
-                        for seen, real in by.get(i, ()):
-                            stack.append((i + len(seen), out + real, used + 1, pay + (_LETTER if seen.isalpha() else _SYMBOL)))
-            else:  # very long or noisy tokens: single confusions only
-                layer = {token[:i] + real + token[i + len(seen) :]: (_LETTER if seen.isalpha() else _SYMBOL) for i, seen, real in places}
-            for word, pay in layer.items():
-                n = self.count.get(word, 0)
-                if n and len(word) > 1:
-                    c = math.log(self.total / n) + pay + (2.0 if len(word) < 4 else 0.0)
-                    if c < best[0]:
-                        best = (c, word)
         if len(self.kept) > 300_000:
             self.kept.clear()
         self.kept[token] = best
         return best
 
-    def doubtful(self, piece: str) -> bool:
-        """Whether some word of a piece between blanks could be read otherwise. Remembered by piece."""
-        got = self.seen.get(piece)
-        if got is None:
-            got = False
-            for _a, _b, t in tokens_of(piece):
-                inner = t.strip("!(+|$)")
-                if inner != t and (inner in self.count or not inner):
-                    t = inner
-                if self.read(t)[1] != t:
-                    got = True
-                    break
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            if len(piece) <= 40:
-                self.seen[piece] = got
-        return got
-
-    def unread(self, piece: str) -> bool:
-        """Whether some word of a piece between blanks isn't in the word list, so that it may be two words or half of one. Remembered by piece."""
-        got = self.strange.get(piece)
-        if got is None:
-            got = any(t.strip("!(+|$)") not in self.count for _a, _b, t in tokens_of(piece))
-            if len(self.strange) > 300_000:
-                self.strange.clear()
-            if len(piece) <= 40:
-                self.strange[piece] = got
-        return got
+    def _all(self, pieces: list[str], fine: set[str], test: Callable[[str], bool]) -> bool:
+        """Whether every piece between blanks passes a test; those that do are remembered."""
+        if fine.issuperset(pieces):
+            return True
+        if len(fine) > 300_000:
+            fine.clear()
+        for x in pieces:
+            if x not in fine:
+                if not all(test(t) for _a, _b, t in tokens_of(x)):
+                    return False
+                fine.add(x)
+        return True
+
+    def undoubted(self, pieces: list[str]) -> bool:
+        """Whether no word of the pieces could be read otherwise."""
+
+        def plain(t: str) -> bool:
+            inner = t.strip("!(+|$)")
+            if inner != t and (inner in self.count or not inner):
+                t = inner
+            return self.read(t)[1] == t
+
+        return self._all(pieces, self.sure, plain)
+
+    def all_known(self, pieces: list[str]) -> bool:
+        """Whether all words of the pieces are in the word list, so that none is two words or a part of one."""
+        return self._all(pieces, self.known, lambda t: t.strip("!(+|$)") in self.count)
 
     def split(self, token: str) -> tuple[float, str]:
-        """Cheapest reading of a token as two known words run together."""
+        """Cheapest reading of a token as two words run together, both known, those of four letters or more also through confusions."""
+        got = self.parts.get(token)
+        if got is not None:
+            return got
         best = (math.inf, token)
         for i in range(2, len(token) - 1):
-            a, b = self.count.get(token[:i], 0), self.count.get(token[i:], 0)
-            if a and b:
-                c = math.log(self.total / a) + math.log(self.total / b) + 3.0
-                if c < best[0]:
-                    best = (c, token[:i] + " " + token[i:])
+            if not self.begins(token[:2]) and token[0] not in _FROM and token[1] not in _FROM:
+                break
+            (ca, a), (cb, b) = self.read(token[:i]), self.read(token[i:])
+            if ca + cb + 3.0 < best[0] and all(w in self.count and (w == t or len(w) > 3) for w, t in ((a, token[:i]), (b, token[i:]))):
+                best = (ca + cb + 3.0, a + " " + b)
+        if len(self.parts) > 300_000:
+            self.parts.clear()
+        self.parts[token] = best
         return best
 
-    def decode(self, tokens: list[str], apart: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, int, str, str]]:
-        """Viterbi over a token stream: (first, last + 1, kind, reading); kinds: same, confusion, split, merge. Tokens in `apart` aren't merged with the next."""
-        n = len(tokens)
+    def decode(self, tokens: list[str], apart: frozenset[int] | set[int] = frozenset(), hyphens: dict[int, tuple[str, bool]] | None = None) -> list[tuple[int, int, str, str]]:
+        """Viterbi over a lattice of tokens: (first, last + 1, kind, reading); kinds: same, confusion, split, merge, hyphen.
+
+        Tokens in `apart` aren't merged with the next. `hyphens`: those before a hyphen that may have cut a word: its sign, and whether a line ends there.
+        """
+        n, hyphens = len(tokens), hyphens or {}
         cost, back = [0.0] + [math.inf] * n, [("", 0, "")] * (n + 1)
         for i, t in enumerate(tokens):
             c, w = self.read(t)
             options = [(i + 1, c, "same" if w == t else "confusion", w)]
-            if t not in self.count:
-                if len(t) >= 4 and t.isalpha():
-                    options.append((i + 1, *_as(self.split(t), "split")))
-                if i + 1 < n and i not in apart and tokens[i + 1].isalpha() and t.isalpha():
-                    m = self.count.get(t + tokens[i + 1], 0)
-                    if m:
-                        options.append((i + 2, math.log(self.total / m) + 3.0, "merge", t + tokens[i + 1]))
+            if t not in self.count and len(t) >= 4:
+                options.append((i + 1, *_as(self.split(t), "split")))
+            if i in hyphens:
+                joined, j = t, i
+                while j in hyphens and (j == i or i - 1 not in hyphens) and self.cut_word(joined, tokens[j + 1], *hyphens[j]):
+                    joined, j = joined + tokens[j + 1], j + 1
+                    c, w = self.read(joined)
+                    options.append((j + 1, min(c, self.unknown) - _CUT * (j - i), "hyphen", w))
+            elif i + 1 < n and i not in apart and (t not in self.count or tokens[i + 1] not in self.count):
+                joined = t + tokens[i + 1]
+                c, w = self.read(joined)
+                if w in self.count:
+                    options.append((i + 2, c + 3.0, "merge", w))
             for j, c, kind, w in options:
                 if cost[i] + c < cost[j]:
                     cost[j], back[j] = cost[i] + c, (kind, i, w)
@@ -170,19 +204,19 @@ class Words:
             j = i
         return out[::-1]
 
-    def cut_word(self, a: str, b: str, mark: str = "-") -> bool:
-        """Whether a hyphen between two halves at a line end was put there by the break."""
+    def cut_word(self, a: str, b: str, mark: str = "-", line_end: bool = True) -> bool:
+        """Whether a hyphen between two halves was put there by a line end; where lines were joined by blanks, only if the whole is a word."""
         a, b = a.lower(), b.lower()
         if not a or not b:
             return False
-        if mark in "¬­":
+        if mark in "¬\xad":
             return True
         joined, kept = self.count.get(a + b, 0), self.compounds.get(a + "-" + b, 0)
         if joined or kept:
             return joined > kept
         if self.read(a + b)[1] != a + b:
             return True
-        return not (self.count.get(a, 0) and self.count.get(b, 0))
+        return line_end and a.isalpha() and b.isalpha() and not (self.count.get(a, 0) and self.count.get(b, 0))
 
 
 def _as(found: tuple[float, str], kind: str) -> tuple[float, str, str]:
@@ -203,7 +237,7 @@ def count_words(texts: DataFrame, text: str = "canonical") -> Words:
                 words = Counter()
         yield pa.record_batch([pa.array(list(words), type=pa.string()), pa.array(list(words.values()), type=pa.int64())], names=["w", "n"])
 
-    counted = texts.select(text).mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    counted = cut(texts.select(text).mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))  # read twice, counted once
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = counted.where(F.col("n") >= max(LEAST_COUNT, int(total * LEAST_SHARE))).toArrow().to_pandas()  # at most 1 / LEAST_SHARE rows
     plain = rows[~rows.w.str.startswith("=")]
@@ -226,8 +260,31 @@ def tokens_of(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def decoded_places(text: str, words: Words) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, reading) of the confusions, splits and merges of a de-lined stream. Splits and merges keep the letters as they stand."""
+class Place(NamedTuple):
+    """A stretch of a region that is to be read otherwise."""
+
+    start: int
+    end: int
+    kind: str  #: confusion, split, merge, hyphen
+    reading: str
+    wrong: int  #: position of the first misread character, -1 where none is
+    hyphens: tuple[int, ...]  #: positions of the hyphens that cut the word
+
+
+HYPHENATED = re.compile(r"(?<=\w)[-¬‐‑\xad][ \n]")
+HYPHEN_GAP = re.compile(r"([-¬‐‑\xad])(?: ?(\n)\s*| {1,2})")
+BLANK_GAP = re.compile(r"[ \n]{1,2}")
+
+
+def places(text: str, words: Words, fully: bool = False) -> list[Place]:
+    """What is to be read otherwise in a region, in order. Its lines are parted by line feeds or joined by blanks.
+
+    `fully`: also words that ran together or fell apart without any misread character.
+    """
+    pieces = text.split()
+    hyphenated = bool(HYPHENATED.search(text))
+    if not hyphenated and words.undoubted(pieces) and (not fully or words.all_known(pieces)):
+        return []
     toks = tokens_of(text)
     known = words.count
     forms, spans = [], []
@@ -238,20 +295,38 @@ def decoded_places(text: str, words: Words) -> list[tuple[int, int, str, str]]:
         at = a + t.find(inner)
         forms.append(inner)
         spans.append((at, at + len(inner)) if inner else (a, b))
-    apart = {i for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] > 2 or text[toks[i][1] : toks[i + 1][0]].strip() or spans[i][1] != toks[i][1] or spans[i + 1][0] != toks[i + 1][0]}
-    path = words.decode(forms, apart)
-    if sum(j - i for i, j, kind, w in path if kind == "split" or w in known) < 0.6 * len(forms):
-        return []  # machine data and junk have no words to misread
+    apart, hyphens = set(), {}
+    for i in range(len(toks) - 1):
+        gap = text[spans[i][1] : spans[i + 1][0]]
+        m = HYPHEN_GAP.fullmatch(gap) if hyphenated else None
+        if m and (text[spans[i + 1][0]].islower() or text[spans[i][0] : spans[i][1]].isupper() or m.group(2) is None and not text[spans[i + 1][0]].isalpha()):
+            hyphens[i] = (m.group(1), m.group(2) is not None)
+        elif not BLANK_GAP.fullmatch(gap):
+            apart.add(i)
+    path = words.decode(forms, apart, hyphens)
+    wordy = sum(j - i for i, j, kind, w in path if kind in ("split", "hyphen") or w in known) >= 0.6 * len(forms)  # machine data and junk have no words to misread
     out = []
     for i, j, kind, w in path:
-        a, b = spans[i][0], spans[j - 1][1]
-        if kind == "confusion":
-            out.append((a, b, kind, w))
-        elif kind == "split":
-            k = a + w.index(" ")
-            out.append((a, b, kind, text[a:k] + " " + text[k:b]))
-        elif kind == "merge":
-            out.append((a, b, kind, "".join(text[a:b].split())))
+        if kind == "same" or not (wordy or kind == "hyphen"):
+            continue
+        was = "".join(forms[i:j])
+        letters = w.replace(" ", "")
+        if kind == "hyphen" and not wordy:
+            letters = w = was
+        wrong = -1
+        if letters != was:
+            k = next((k for k, (x, y) in enumerate(zip(was, letters)) if x != y), min(len(was), len(letters)) - 1)
+            for q in range(i, j):
+                if k < len(forms[q]):
+                    wrong = spans[q][0] + k
+                    break
+                k -= len(forms[q])
+        as_it_stands = "".join(text[a:b] for a, b in spans[i:j])
+        if wrong < 0:
+            reading = as_it_stands if kind != "split" else as_it_stands[: w.index(" ")] + " " + as_it_stands[w.index(" ") :]
+        else:
+            reading = w.upper() if as_it_stands.isupper() and len(as_it_stands) > 1 else w.capitalize() if as_it_stands[:1].isupper() else w
+        out.append(Place(spans[i][0], spans[j - 1][1], kind, reading, wrong, tuple(spans[q][1] for q in range(i, j - 1)) if kind == "hyphen" else ()))
     return out
 
 
@@ -261,75 +336,53 @@ def stop_places(text: str) -> list[tuple[int, int, str]]:
 
 
 def misread_places(text: str, words: Words) -> list[tuple[int, int, str]]:
-    """(start, end, reading) of words of a de-lined stream that were misread, and of full stops (reading 。)."""
-    out = stop_places(text)
-    if any([words.doubtful(x) for x in text.split()]):  # no confusion without one
-        out += [(a, b, w) for a, b, kind, w in decoded_places(text, words) if kind == "confusion"]
-    return out
-
-
-def reread(text: str, words: Words) -> str:
-    """A de-lined stream with its misread words and full stops replaced (case kept where the word had one), words run together split and broken ones merged."""
-    places = [(a, b, "stop", w) for a, b, w in stop_places(text)]
-    if any(words.doubtful(x) or words.unread(x) for x in text.split()):
-        places += decoded_places(text, words)
-    parts, at = [], 0
-    for a, b, kind, w in sorted(places):
-        was = text[a:b]
-        if kind == "confusion":
-            w = w.upper() if was.isupper() and len(was) > 1 else w.capitalize() if was[:1].isupper() else w
-        parts += [text[at:a], w]
-        at = b
-    return "".join(parts) + text[at:]
+    """(start, end, reading) of words of a region that were misread, and of full stops (reading 。)."""
+    return stop_places(text) + [(p.start, p.end, p.reading) for p in places(text, words) if p.wrong >= 0]
 
 
 def joined_lines(lines: list[str], words: Words) -> tuple[str, list[int], list[bool]]:
-    """De-lined stream of a region, the length of each line in it, and which lines end with a word cut by a hyphen.
-
-    Halves of cut words are joined without the hyphen, so that their word is read as one.
-    """
-    parts: list[str] = []
-    cut = [False] * len(lines)
-    last = len(lines) - 1
-    for i, line in enumerate(lines):
-        text, glue = line.rstrip(), " "
-        if i < last and text:
-            end, following = text[-1], lines[i + 1]
-            if end in "-¬‐‑­":
-                m, after = HYPHEN_END.search(line), re.match(r"\s*([^\W\d_]+)", following)
-                if m and after and not CJK.match(after.group(1)):
-                    if words.cut_word(m.group(1), after.group(1), m.group(2)) and (after.group(1)[0].islower() or m.group(1).isupper()):
-                        cut[i], text = True, line[: m.start(2)]
-                    glue = ""
-            elif end > "⺀" and following and (following[0] > "⺀" or following[0] in "oO0•") and not ("가" <= end <= "힯"):
-                glue = ""
-        parts.append(text + glue)
-    return "".join(parts), [len(p) for p in parts], cut
-
-
-INLINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬‐‑­] {1,2}(?=[^\W\d_])")
-INLINE_CUT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-¬‐‑­]) {1,2}(?=([^\W\d_]+))")
-
-
-def inline_places(text: str, words: Words) -> list[tuple[int, int]]:
-    """(start, end) of the hyphens and blanks that cut words of a text whose lines were joined by blanks."""
-    out: list[tuple[int, int]] = []
-    if not INLINE_HYPHEN.search(text):
-        return out
-    before = ""
-    for m in INLINE_CUT.finditer(text):
-        a, mark, b = m.groups()
-        if out and out[-1][1] == m.start():  # the middle of a word that is cut twice
-            a = before + a
-        if (b[0].islower() or a.isupper()) and not CJK.match(b) and words.cut_word(a, b, mark) and (mark != "-" or (a + b).lower() in words.count or words.read((a + b).lower())[1] != (a + b).lower()):
-            out.append((m.start(2), m.start(3)))
-            before = a
-    return out
+    """De-lined stream of a region, the first position of each line before, and which lines end with a word cut by a hyphen."""
+    text, starts, at = "\n".join(lines), [], 0
+    for x in lines:
+        starts.append(at)
+        at += len(x) + 1
+    cuts = [False] * len(lines)
+    found = places(text, words)
+    for p in found:
+        for h in p.hyphens:
+            cuts[bisect_right(starts, h) - 1] = True
+    return delined(text, [(p.start, p.end, "".join(text[p.start : p.end].split("\n")) if p.wrong >= 0 and not p.hyphens else p.reading) for p in found if p.hyphens]), starts, cuts
 
 
 def inline_cuts(text: str, words: Words) -> bool:
     """Whether a text whose lines were joined by blanks has a word cut by a hyphen before a blank."""
-    return bool(inline_places(text, words))
+    return any(p.hyphens for p in places(text, words))
+
+
+LINE_END = re.compile(r"[ \t]*\n")
+
+
+def delined(text: str, replaced: list[tuple[int, int, str]]) -> str:
+    """A region as one stream, with (start, end, reading) places replaced. A line end becomes a blank, or nothing after a hyphen between letters and between signs that need no blanks."""
+    parts, at = [], 0
+    for a, b, w in sorted(replaced):
+        if a >= at:
+            parts += [text[at:a], w]
+            at = b
+    text = "".join(parts) + text[at:]
+
+    def glue(m: re.Match) -> str:
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        if before and before in "-‐‑" and text[m.start() - 2 : m.start() - 1].isalpha() and after.isalpha():
+            return ""
+        return "" if before > "⺀" and (after > "⺀" or after and after in "oO0•") and not ("가" <= before <= "힯") else " "
+
+    return LINE_END.sub(glue, text) if "\n" in text else text
+
+
+def reread(text: str, words: Words) -> str:
+    """A region as one stream with its misread words and full stops replaced (case kept where the word had one), words run together split, broken ones merged, cut ones joined."""
+    return delined(text, stop_places(text) + [(p.start, p.end, p.reading) for p in places(text, words, fully=True)])
 
 
 def without(text: str, places: list[tuple[int, int]]) -> str:
@@ -341,8 +394,6 @@ def without(text: str, places: list[tuple[int, int]]) -> str:
     return "".join(parts) + text[at:]
 
 
-
-
 CORELESS = re.compile(r"[\d|·•\-–—/]+")
 
 
@@ -382,7 +433,7 @@ def furniture_kind(text: str, kind: str | None, label: str | None, y0: float | N
     return "footer" if low else "header" if high else None
 
 
-_STOPS, _CLOSERS = frozenset(".!?。！？"), frozenset(".!?。！？")
+_STOP, _CLOSERS = re.compile("[.!?。！？]"), frozenset(".!?。！？")
 INNER_CAPITAL = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ] [A-ZÀ-ÖØ-ÞА-Я]")
 
 
@@ -392,7 +443,7 @@ def candidate_places(text: str) -> tuple[list[tuple[int, int]], list[tuple[int,
     In texts whose lines are joined by blanks: runs of words that begin with a capital inside a sentence, or stand between blanks in scripts without blanks.
     """
     lines = text.split("\n")
-    if _STOPS.isdisjoint(text):
+    if not _STOP.search(text):
         return [], []
     found: list[tuple[int, int]] = []
     if len(lines) > 2:
@@ -452,46 +503,53 @@ def without_furniture(text: str, keys: frozenset[int]) -> str:
     return without(text, places) if places else text
 
 
+_last = math.inf
 FLAGS = "furniture string, core bigint, hyphen boolean, misread boolean, number_line boolean, candidates array<bigint>"
 
 
 def element_flags(elements: DataFrame, words: Words | None, text: str = "canonical") -> DataFrame:
     """Furniture, hyphen, misread and candidate lines of content elements. Null and empty texts have none. Without `words` only furniture is looked for.
 
-    Wants elem_id, doc_id, page_index, reading_order, element_type, label, y0, y1 and the text. Repeated rows give repeated flags.
+    Wants elem_id, doc_id, page_index, reading_order, element_type, label, y0, y1 and the text. Repeated rows count once; an element without a document or a page is alone on its page.
     """
-    page = Window.partitionBy("doc_id", "page_index")
-    rows = elements.withColumn("_top", F.rank().over(page.orderBy(F.col("y0").asc_nulls_last()))).withColumn("_bottom", F.rank().over(page.orderBy(F.col("y1").desc_nulls_last()))).withColumn("_rows", F.count("*").over(page))
     shared = elements.sparkSession.sparkContext.broadcast(words)
+    types = dict(elements.dtypes)
+    keep = ["elem_id", "doc_id", "page_index", "reading_order"]
+    alone = F.when(F.col("doc_id").isNull() | F.col("page_index").isNull(), F.coalesce("elem_id", F.lit(-1)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(t: pa.Table, starts) -> pa.Table:
         w = shared.value
-        for p in parts:
-            out = []
-            for t, kind, label, y0, top, bottom, n in zip(p[text], p.element_type, p.label, p.y0, p._top, p._bottom, p._rows):
-                if not isinstance(t, str) or not t.strip():
+        ids, texts, kinds, labels, y0s, y1s = (t.column(c).to_pylist() for c in ("elem_id", text, "element_type", "label", "y0", "y1"))
+        take, out = [], []
+        bounds = [*starts.tolist(), t.num_rows]
+        for s, e in zip(bounds, bounds[1:]):
+            rows = [i for i in range(s, e) if i == s or ids[i] != ids[i - 1]]
+            tops = sorted(_last if (y := y0s[i]) is None or y != y else y for i in rows)
+            bottoms = sorted(_last if (y := y1s[i]) is None or y != y else -y for i in rows)
+            take += rows
+            for i in rows:
+                x = texts[i]
+                if not x or x.isspace():
                     out.append((None, None, False, False, False, []))
                     continue
-                kind, label = kind if isinstance(kind, str) else None, label if isinstance(label, str) else None
-                f = furniture_kind(t, kind, label, float(y0) if y0 is not None else None, int(top), int(bottom), int(n))
-                lines = t.split("\n")
+                y0, y1 = y0s[i], y1s[i]
+                top = 1 + bisect_left(tops, _last if y0 is None or y0 != y0 else y0)
+                bottom = 1 + bisect_left(bottoms, _last if y1 is None or y1 != y1 else -y1)
+                f = furniture_kind(x, kinds[i], labels[i], y0, top, bottom, len(rows))
                 hyphen = misread = False
                 if w is not None:
-                    stream, _sizes, cut = joined_lines(lines, w)
-                    hyphen, misread = any(cut) or inline_cuts(t, w), bool(misread_places(stream, w))
-                found, number = line_candidates(t) if kind in (None, "text") and f is None else ([], False)
-                out.append((f, core_key(t) if f in ("header", "footer") else None, hyphen, misread, number, list({core_key(x) for x in found if core(x)})))
-            got = pd.DataFrame(out, columns=["furniture", "core", "hyphen", "misread", "number_line", "candidates"])
-            got["core"] = pd.array([x[1] for x in out], dtype="Int64")  # never by way of a float
-            got.insert(0, "reading_order", p.reading_order.to_numpy())
-            got.insert(0, "page_index", p.page_index.to_numpy())
-            got.insert(0, "doc_id", p.doc_id.to_numpy())
-            got.insert(0, "elem_id", p.elem_id.to_numpy())
-            yield got
+                    found = places(x, w)
+                    hyphen, misread = any(p.hyphens for p in found), any(p.wrong >= 0 for p in found) or bool(stop_places(x))
+                inside, number = line_candidates(x) if kinds[i] in (None, "text") and f is None else ([], False)
+                out.append((f, core_key(x) if f in ("header", "footer") else None, hyphen, misread, number, list({core_key(c) for c in inside if core(c)}) if inside else []))
+        got = t.take(pa.array(take, type=pa.int64())).select(keep)
+        for k, (name, kind) in enumerate((("furniture", pa.string()), ("core", pa.int64()), ("hyphen", pa.bool_()), ("misread", pa.bool_()), ("number_line", pa.bool_()), ("candidates", pa.list_(pa.int64())))):
+            got = got.append_column(name, pa.array([x[k] for x in out], type=kind))
+        return got
 
-    types = dict(elements.dtypes)
-    keep = ["elem_id", "doc_id", "page_index", "reading_order"]
-    return rows.select(*keep, "element_type", "label", "y0", "_top", "_bottom", "_rows", text).mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", " + FLAGS)
+    keys = ["doc_id", "page_index", "_alone"]
+    slim = elements.withColumn("_alone", alone).select(*keep, "_alone", "element_type", "label", "y0", "y1", text)
+    return grouped_arrow(slim, keys, run, ", ".join(f"{k} {types[k]}" for k in keep) + ", " + FLAGS, order=["elem_id"], target_rows=20_000)
 
 
 def line_flags(lines: DataFrame, words: Words | None, text: str = "canonical") -> DataFrame:
@@ -512,20 +570,22 @@ def line_flags(lines: DataFrame, words: Words | None, text: str = "canonical") -
         for s, e in zip(bounds, bounds[1:]):
             rows = [i for i in range(s, e) if i == s or ids[i] != ids[i - 1]]
             texts = [texts_all[i] for i in rows]
-            stream, sizes, cut = joined_lines(texts, w) if w is not None else ("", [], [False] * len(texts))
-            bad = [False] * len(texts)
-            places = misread_places(stream, w) if w is not None else []
-            owner = [i for i, n in enumerate(sizes) for _ in range(n)] if places else []
-            for a, b, reading in places:
-                touched = owner[a:b]
-                bad[touched[0]] = True
-                if touched[0] != touched[-1]:  # a cut word: the line that holds the confusion
-                    k = next((i for i, (x, y) in enumerate(zip(stream[a:b].lower(), reading)) if x != y), 0)
-                    bad[touched[0]] = False
-                    bad[touched[min(k, len(touched) - 1)]] = True
-            inside, sure = line_candidates("\n".join(texts)) if len(texts) > 2 else ([], False)
+            region = "\n".join(texts)
+            cuts, bad = [False] * len(texts), [False] * len(texts)
+            if w is not None:
+                found, stops = places(region, w), stop_places(region)
+                if found or stops:
+                    first = [0, *accumulate(len(x) + 1 for x in texts)][:-1]
+                    for p in found:
+                        for h in p.hyphens:
+                            cuts[bisect_right(first, h) - 1] = True
+                        if p.wrong >= 0:
+                            bad[bisect_right(first, p.wrong) - 1] = True
+                    for a, _b, _w in stops:
+                        bad[bisect_right(first, a) - 1] = True
+            inside, sure = line_candidates(region) if len(texts) > 2 else ([], False)
             take += rows
-            hyphen += cut
+            hyphen += cuts
             misread += bad
             inside_key += [core_key(x) if inside and x.strip() in inside else None for x in texts]
             number += [sure and 0 < k < len(texts) - 1 and is_number(x) for k, x in enumerate(texts)]
@@ -603,13 +663,8 @@ def repaired(text: str, words: Words) -> list[str]:
     """Continuous paragraphs of an element: boundaries, hyphens joined, words reread."""
     lines = text.split("\n")
     starts = paragraph_starts(lines)
-    out = []
-    for a, b in zip(starts, [*starts[1:], len(lines)]):
-        stream, _sizes, _cut = joined_lines(lines[a:b], words)
-        p = reread(without(stream, inline_places(stream, words)), words).strip()
-        if p:
-            out.append(p)
-    return out
+    out = (reread("\n".join(x.rstrip() for x in lines[a:b]), words).strip() for a, b in zip(starts, [*starts[1:], len(lines)]))
+    return [p for p in out if p]
 
 
 PARAGRAPHS = ("elem_id", "line_id", "doc_id", "page_index", "reading_order", "paragraph", "text")
