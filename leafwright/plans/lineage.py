@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's shared checkpoint folder. Only a local master, as in tests, gets a temporary one where none is set; on a cluster that is an error."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwright-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="leafwright-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably (checkpoint, never localCheckpoint) and forget how it came about."""
+    """Materialise `df` reliably (checkpoint, never a local one) and forget how it came about."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
