@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("layout", "elements", "tables", "stats", "metrics", "service", "compare", "streams")
+MODULES = ("layout", "elements", "pageplan", "tables", "stats", "metrics", "service", "compare", "streams")
 
 
 def queries() -> dict[str, Callable]:

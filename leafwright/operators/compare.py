@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +73,46 @@ def duplicate_outputs(spark, sf_dir):
     return load(spark, sf_dir, "parse_jobs", "doc_id", "request_id", "stem").dropDuplicates(["doc_id"]).groupBy("request_id", "stem").agg(F.count("*").alias("jobs")).where("jobs > 1")
 
 
+DIFF = "added int, removed int, lines_a int, lines_b int"
+
+
+def line_diff(a: str | None, b: str | None) -> tuple[int, int, int, int]:
+    """Lines that a unified diff without context adds and removes on the way from `a` to `b`, and the lines of both. Null is empty."""
+    x, y = (a or "").splitlines(), (b or "").splitlines()
+    added = removed = 0
+    for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
+        if tag != "equal":
+            # a line that itself begins with two signs is read as a file header by the reference's count
+            removed += sum(not line.startswith("--") for line in x[i:j])
+            added += sum(not line.startswith("++") for line in y[k:m])
+    return added, removed, len(x), len(y)
+
+
+def diff_counts(a: Column, b: Column) -> Column:
+    """`line_diff` as struct(added, removed, lines_a, lines_b); one pair of texts is compared at a time."""
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in parts:
+            yield pd.DataFrame([line_diff(*(v if isinstance(v, str) else None for v in p)) for p in zip(x, y)], columns=["added", "removed", "lines_a", "lines_b"])
+
+    return F.pandas_udf(run, f"struct<{DIFF.replace(' ', ':').replace(',:', ',')}>")(a, b)
+
+
 def line_changes(a: Column, b: Column) -> Column:
-    """Lines of `a` that aren't in `b` and the other way round, as struct(removed, added)."""
-    left, right = F.split(a, "\n"), F.split(b, "\n")
-    return F.struct(F.size(F.array_except(left, right)).alias("removed"), F.size(F.array_except(right, left)).alias("added"))
+    """Lines that are removed from `a` and added on the way to `b`, as struct(removed, added)."""
+    d = diff_counts(a, b)
+    return F.struct(d["removed"].alias("removed"), d["added"].alias("added"))
+
+
+@R.query("markdown_diff")
+def markdown_diff(spark, sf_dir):
+    """Text of each document's elements against its recognised lines: changed lines, characters, their ratio, and whether each has a table. Null where a side is missing."""
+    a = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "page_index", "reading_order", "text", "html").dropDuplicates(["elem_id"]).withColumn("v", F.coalesce(F.nullif("html", F.lit("")), "text", F.lit("")))
+    b = load(spark, sf_dir, "rec_results", "line_id", "doc_id", "page_index", "region_id", "line_index", "text").dropDuplicates(["line_id"]).withColumn("v", F.coalesce("text", F.lit("")))
+    text = lambda t, order, name: t.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "v"))), lambda x: x["v"]), "\n").alias(name))
+    both = text(a, ["page_index", "reading_order", "elem_id"], "a").join(text(b, ["page_index", "region_id", "line_index", "line_id"], "b"), "doc_id", "full")
+    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    has = lambda c: F.lower(c).contains("<table")
+    ratio = F.when(F.length("b") == 0, 0.0).otherwise(F.round(F.try_divide(F.length("a"), F.length("b")), 3))
+    out = both.withColumn("d", F.when(there, diff_counts(F.col("b"), F.col("a"))))
+    return out.select("doc_id", F.length("a").alias("chars_a"), F.length("b").alias("chars_b"), F.when(there, ratio).alias("ratio"), "d.added", "d.removed", has("a").alias("tables_a"), has("b").alias("tables_b"))

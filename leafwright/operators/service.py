@@ -97,14 +97,137 @@ def selected_pages(spark, sf_dir):
     return p.join(jobs(spark, sf_dir).select("doc_id", f.alias("f"), last.alias("l")), "doc_id").where("page_index BETWEEN f AND l").select("doc_id", "page_index")
 
 
-#: Texts of the warnings about options that have no effect.
-WARNINGS = {"backend": "backend request ignored; only the pipeline backend runs here.", "txt": "parse_method=txt is not supported natively; falling back to auto.", "lang": "lang_list has no effect on recognition."}
+#: What a request may ask for and what runs here; None where any value is taken.
+ENGINES = {"layout_engine": ("builtin",), "ocr_engine": ("builtin",), "table_engine": ("builtin",), "formula_engine": ("builtin", "image")}
 
 
-@R.query("request_warnings", f"WITH {JB} SELECT doc_id, list_filter([CASE WHEN lower(coalesce(backend, 'pipeline')) <> 'pipeline' THEN '{WARNINGS['backend']}' END, CASE WHEN lower(parse_method) = 'txt' THEN '{WARNINGS['txt']}' END, CASE WHEN len(lang_list) > 0 THEN '{WARNINGS['lang']}' END], lambda x: x IS NOT NULL) AS warnings FROM jb")
+def request_warnings_of(accelerated: Column, engines: dict[str, Column], method: Column) -> Column:
+    """The six warnings about options that have no effect: acceleration switched off, another engine for layout, text, tables or formulas, and the method `txt`. Empty and null engines ask for nothing."""
+    asks = [F.when(~F.coalesce(accelerated, F.lit(True)), "acceleration can't be switched off; the option was ignored.")]
+    for name, allowed in ENGINES.items():
+        e = F.lower(F.coalesce(engines[name], F.lit("")))
+        asks.append(F.when((e != "") & ~e.isin(*allowed), f"{name} request ignored; only {' and '.join(allowed)} run here."))
+    asks.append(F.when(F.lower(method) == "txt", "parse_method=txt has no path of its own; falling back to auto."))
+    return F.filter(F.array(*asks), lambda x: x.isNotNull())
+
+
+_ASKED = {"layout_engine": ("doc_id", 7, 3), "ocr_engine": ("doc_id", 5, 1), "table_engine": ("doc_id", 11, 2), "formula_engine": ("doc_id", 3, 0)}
+
+
+def _asked(sql: bool):
+    """Engines that a job asks for: another one than the built-in for some ids, none for others."""
+    if sql:
+        return {k: f"CASE WHEN doc_id % {m} = {r} THEN 'Other' WHEN doc_id % 2 = 0 THEN 'BUILTIN' ELSE '' END" for k, (_c, m, r) in _ASKED.items()}
+    return {k: F.when(F.col(c) % m == r, "Other").when(F.col(c) % 2 == 0, "BUILTIN").otherwise("") for k, (c, m, r) in _ASKED.items()}
+
+
+def _warnings_sql() -> str:
+    engines = _asked(True)
+    asks = ["CASE WHEN doc_id % 13 = 0 THEN 'acceleration can''t be switched off; the option was ignored.' END"]
+    asks += [f"CASE WHEN lower({engines[n]}) <> '' AND lower({engines[n]}) NOT IN ({', '.join(map(repr, allowed))}) THEN '{n} request ignored; only {' and '.join(allowed)} run here.' END" for n, allowed in ENGINES.items()]
+    asks.append("CASE WHEN lower(parse_method) = 'txt' THEN 'parse_method=txt has no path of its own; falling back to auto.' END")
+    return f"WITH {JB} SELECT doc_id, list_filter([{', '.join(asks)}], lambda x: x IS NOT NULL) AS warnings FROM jb"
+
+
+@R.query("request_warnings", _warnings_sql())
 def request_warnings(spark, sf_dir):
-    w = F.array(F.when(F.lower(F.coalesce("backend", F.lit("pipeline"))) != "pipeline", WARNINGS["backend"]), F.when(F.lower("parse_method") == "txt", WARNINGS["txt"]), F.when(F.size("lang_list") > 0, WARNINGS["lang"]))
-    return jobs(spark, sf_dir).select("doc_id", F.filter(w, lambda x: x.isNotNull()).alias("warnings"))
+    """Warnings of each job; what it asks for beside its method is a formula of its id."""
+    return jobs(spark, sf_dir).select("doc_id", request_warnings_of(F.col("doc_id") % 13 != 0, _asked(False), F.col("parse_method")).alias("warnings"))
+
+
+@R.query("request_ids", "WITH rq AS (SELECT DISTINCT ON (request_id) * FROM requests) SELECT request_id, 'req_' || CAST(epoch_us(ts) // 1000 AS BIGINT) || '_pid' || CAST(shard_id AS BIGINT) || '_' || request_id % 1000 AS name FROM rq")
+def request_ids(spark, sf_dir):
+    """Names of requests from time, process (the shard) and a running number; never random, so a rerun names them alike."""
+    r = load(spark, sf_dir, "requests", "request_id", "ts", "shard_id").dropDuplicates(["request_id"])
+    return r.select("request_id", F.concat(F.lit("req_"), F.unix_millis("ts").cast("string"), F.lit("_pid"), F.col("shard_id").cast("string"), F.lit("_"), (F.col("request_id") % 1000).cast("string")).alias("name"))
+
+
+@R.query("base_urls", "SELECT doc_id, rtrim('http://host' || doc_id || '/api' || repeat('/', CAST(doc_id % 3 AS INT)), '/') AS url FROM (SELECT DISTINCT doc_id FROM parse_jobs)")
+def base_urls(spark, sf_dir):
+    d = load(spark, sf_dir, "parse_jobs", "doc_id").distinct()
+    return d.select("doc_id", base_url(F.concat(F.lit("http://host"), F.col("doc_id").cast("string"), F.lit("/api"), F.repeat(F.lit("/"), (F.col("doc_id") % 3).cast("int")))).alias("url"))
+
+
+#: Parts of a file's payload that are sent only when a request asks for them.
+RETURNED = ("md_content", "middle_json", "model_output", "content_list", "images")
+
+
+def payload(fields: dict[str, Column], wanted: dict[str, Column]) -> Column:
+    """A file's result as JSON: `fields` always, those of `RETURNED` only where `wanted`; null fields are left out."""
+    return F.to_json(F.struct(*[(F.when(F.coalesce(wanted[k], F.lit(False)), v) if k in RETURNED else v).alias(k) for k, v in fields.items()]))
+
+
+@R.query("file_payloads", f"""WITH {JB}, el AS (SELECT DISTINCT ON (elem_id) * FROM content_list), im AS (SELECT doc_id, count(*) AS n FROM el WHERE coalesce(image_path, '') <> '' GROUP BY doc_id), tx AS (SELECT doc_id, count(*) AS n FROM el GROUP BY doc_id)
+    SELECT doc_id, '{{"filename":' || CAST(to_json(stem || suffix) AS VARCHAR) || ',"backend":' || CAST(to_json(coalesce(backend, 'pipeline')) AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN ',"md_content":' || coalesce(tx.n, 0) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ',"middle_json":' || coalesce(tx.n, 0) ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ',"model_output":' || coalesce(tx.n, 0) ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ',"content_list":' || coalesce(tx.n, 0) ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN ',"images":' || coalesce(im.n, 0) ELSE '' END || '}}' AS payload FROM jb LEFT JOIN tx USING (doc_id) LEFT JOIN im USING (doc_id)""")
+def file_payloads(spark, sf_dir):
+    """Which parts of each file's result are sent back; the numbers of elements and images stand for the parts, and what is asked for is a formula of the id."""
+    el = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "image_path").dropDuplicates(["elem_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("image_path", F.lit("")) != "").alias("pictures"))
+    j = jobs(spark, sf_dir).join(el, "doc_id", "left")
+    n, pictures = F.coalesce("n", F.lit(0)), F.coalesce("pictures", F.lit(0))
+    fields = {"filename": F.concat("stem", "suffix"), "backend": F.coalesce("backend", F.lit("pipeline")), **dict.fromkeys(RETURNED[:4], n), "images": pictures}
+    wanted = {k: F.col("doc_id") % m == 0 for k, m in zip(RETURNED, (2, 3, 5, 7, 11))}
+    return j.select("doc_id", payload(fields, wanted).alias("payload"))
+
+
+#: Keys of a file's statistics; the last three only where they are known.
+STATS = ("cpu_only_ms", "layout_ms", "npu_lock_hold_ms", "npu_lock_wait_ms", "npu_serial_ms", "ocr_ms", "output_gen_ms", "pages", "pdf_render_ms", "skipped", "table_ms", "time_ms", "total_pages", "pipeline_call_ms", "route_queue_ms", "lb_proxy_ms")
+_SUMMED = ("cpu_only_ms", "layout_ms", "npu_lock_hold_ms", "npu_lock_wait_ms", "npu_serial_ms", "ocr_ms", "table_ms")
+
+
+def _stats_sql() -> str:
+    from leafwright.operators.stats import PAGES, REQ, _us
+
+    ms = lambda c: f"CAST({c} / 1000.0::DOUBLE AS VARCHAR)"
+    value = {**{k: ms(f"coalesce({k[:-3]}_us, 0)") for k in _SUMMED}, "output_gen_ms": "'0.0'", "pdf_render_ms": "'0.0'", "pages": "CAST(coalesce(pages, 0) AS VARCHAR)", "skipped": "CAST(coalesce(skipped, 0) AS VARCHAR)", "time_ms": ms("coalesce(time_us, 0)"), "total_pages": "CAST(total_pages AS VARCHAR)"}
+    body = " || ',' || ".join(f"'\"{k}\":' || {value[k]}" for k in STATS[:13])
+    return f"""WITH {JB}, {PAGES}, {REQ}, pg AS (SELECT doc_id, count(*) AS pages, {', '.join(f'CAST(sum({_us(k)}) AS BIGINT) AS {k[:-3]}_us' for k in _SUMMED)}, CAST(sum({_us('total_ms')}) AS BIGINT) AS time_us FROM pages GROUP BY doc_id), sk AS (SELECT doc_id, count(*) FILTER (WHERE skipped) AS skipped FROM (SELECT DISTINCT ON (elem_id) * FROM content_list) GROUP BY doc_id)
+    SELECT doc_id, '{{' || {body} || CASE WHEN r.request_id IS NOT NULL THEN ',"pipeline_call_ms":' || {ms(_us('r.pipeline_call_ms'))} || ',"route_queue_ms":' || {ms(_us('r.route_queue_ms'))} ELSE '' END || '}}' AS stats FROM jb LEFT JOIN pg USING (doc_id) LEFT JOIN sk USING (doc_id) LEFT JOIN req r ON r.request_id = jb.request_id"""
+
+
+@R.query("file_stats", _stats_sql())
+def file_stats(spark, sf_dir):
+    """Statistics of each file as JSON, keys in alphabetical order, those about the call only where its request is known. Times are whole microseconds in milliseconds."""
+    from leafwright.operators import stats
+
+    ms = lambda c: F.coalesce(c, F.lit(0)) / 1000.0
+    p = stats.pages(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("pages"), *[F.sum(stats.to_us(k)).alias(k) for k in _SUMMED], F.sum(stats.to_us("total_ms")).alias("time_ms"))
+    skipped = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "skipped").dropDuplicates(["elem_id"]).groupBy("doc_id").agg(F.count_if("skipped").alias("skipped"))
+    r = stats.requests(spark, sf_dir, "pipeline_call_ms", "route_queue_ms").select("request_id", (stats.to_us("pipeline_call_ms") / 1000.0).alias("pipeline_call_ms"), (stats.to_us("route_queue_ms") / 1000.0).alias("route_queue_ms"))
+    j = jobs(spark, sf_dir).select("doc_id", "request_id", "total_pages").join(p, "doc_id", "left").join(skipped, "doc_id", "left").join(r, "request_id", "left")
+    value = {**{k: ms(F.col(k)) for k in (*_SUMMED, "time_ms")}, "output_gen_ms": F.lit(0.0), "pdf_render_ms": F.lit(0.0), "pages": F.coalesce("pages", F.lit(0)), "skipped": F.coalesce("skipped", F.lit(0)), "lb_proxy_ms": F.lit(None).cast("double")}
+    return j.select("doc_id", F.to_json(F.struct(*[value.get(k, F.col(k)).alias(k) for k in STATS])).alias("stats"))
+
+
+def inline_images(markdown: Column, names: Column, urls: Column) -> Column:
+    """Markdown whose pictures are replaced by image tags with data URLs: arrays of paths and of URLs, in the same order. Other pictures stay."""
+    pairs = F.arrays_zip(names.alias("n"), urls.alias("u"))
+    return F.aggregate(pairs, markdown, lambda t, p: F.replace(t, F.concat(F.lit("![]("), p["n"], F.lit(")")), F.concat(F.lit('<img src="'), p["u"], F.lit('">'))))
+
+
+@R.query("inline_image_markdown", """WITH el AS (SELECT DISTINCT ON (elem_id) * FROM content_list WHERE coalesce(image_path, '') <> '') SELECT elem_id, 'see <img src="data:image/png;base64,' || base64(encode(image_path)) || '"> and ![](other.gif)' AS markdown FROM el""")
+def inline_image_markdown(spark, sf_dir):
+    """A line of Markdown about each picture, with the picture in it; the path stands for the bytes."""
+    el = load(spark, sf_dir, "content_list", "elem_id", "image_path").where("coalesce(image_path, '') <> ''").dropDuplicates(["elem_id"])
+    url = F.concat(F.lit("data:"), media_type(F.regexp_extract("image_path", r"(\.[^.]*)$", 1)), F.lit(";base64,"), F.base64(F.encode("image_path", "utf-8")))
+    return el.select("elem_id", inline_images(F.concat(F.lit("see ![]("), "image_path", F.lit(") and ![](other.gif)")), F.array("image_path"), F.array(url)).alias("markdown"))
+
+
+@R.query("performance_table", """WITH rq AS (SELECT DISTINCT ON (request_id) * FROM requests), g AS (SELECT coalesce(case_name, '-') AS name, count(*) AS files, CAST(sum(page_count) AS BIGINT) AS pages FROM rq GROUP BY 1) SELECT '| Case | Files | Pages |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || name || ' | ' || files || ' | ' || coalesce(CAST(pages AS VARCHAR), '-') || ' |', chr(10) ORDER BY name) AS markdown FROM g""")
+def performance_table(spark, sf_dir):
+    """Files and pages by case as a Markdown table; a dash where there is no name or number."""
+    g = load(spark, sf_dir, "requests", "request_id", "case_name", "page_count").dropDuplicates(["request_id"]).groupBy(F.coalesce("case_name", F.lit("-")).alias("name")).agg(F.count("*").alias("files"), F.sum("page_count").alias("pages"))
+    line = F.concat(F.lit("| "), "name", F.lit(" | "), F.col("files").cast("string"), F.lit(" | "), F.coalesce(F.col("pages").cast("string"), F.lit("-")), F.lit(" |"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("l")))), lambda x: x["l"]), "\n")  # a row for each case
+    return g.agg(F.concat(F.lit("| Case | Files | Pages |\n| --- | --- | --- |\n"), rows).alias("markdown"))
+
+
+@R.query("page_summaries", f"WITH el AS (SELECT DISTINCT ON (elem_id) * FROM content_list), pg AS (SELECT DISTINCT ON (doc_id, page_index) * FROM page_stats), c AS (SELECT doc_id, page_index, count(*) AS layout_boxes, count(*) FILTER (WHERE coalesce(text, '') <> '') AS text_elements FROM el GROUP BY ALL) SELECT doc_id, page_index, coalesce(layout_boxes, 0) AS layout_boxes, coalesce(text_elements, 0) AS text_elements, round(coalesce(total_ms, 0), 3) AS time_ms, 'doc' || doc_id || '/page_' || lpad(CAST(page_index AS VARCHAR), 4, '0') || '_layout.json' AS layout_file FROM pg LEFT JOIN c USING (doc_id, page_index)")
+def page_summaries(spark, sf_dir):
+    """Boxes, texts and time of each page, and the file that its layout goes to."""
+    c = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "page_index", "text").dropDuplicates(["elem_id"]).groupBy("doc_id", "page_index").agg(F.count("*").alias("layout_boxes"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("text_elements"))
+    p = load(spark, sf_dir, "page_stats", "doc_id", "page_index", "total_ms").dropDuplicates(["doc_id", "page_index"])
+    file = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("/page_"), F.lpad(F.col("page_index").cast("string"), 4, "0"), F.lit("_layout.json"))
+    return p.join(c, ["doc_id", "page_index"], "left").select("doc_id", "page_index", F.coalesce("layout_boxes", F.lit(0)).alias("layout_boxes"), F.coalesce("text_elements", F.lit(0)).alias("text_elements"), F.round(F.coalesce("total_ms", F.lit(0.0)), 3).alias("time_ms"), file.alias("layout_file"))
 
 
 @R.query("output_paths", f"WITH {JB}, s AS (SELECT *, 'req_' || request_id AS req, CASE WHEN lower(parse_method) IN ('ocr', 'txt') THEN lower(parse_method) ELSE 'auto' END AS m FROM jb) SELECT doc_id, concat_ws('/', 'out', req, stem, m) AS output_dir, concat_ws('/', 'out', req, stem, m, stem || '.md') AS markdown_path, concat_ws('/', 'out', req, stem, m, stem || '_content_list.json') AS content_list_path, concat_ws('/', 'out', req, stem, m, stem || '_middle.json') AS middle_path, concat_ws('/', 'out', req, stem, m, stem || '_origin' || lower(suffix)) AS origin_path FROM s")
@@ -177,4 +300,19 @@ def status(spark, sf_dir) -> DataFrame:
     return one.select(F.to_json(F.struct(F.lit("running").alias("status"), "requests", "success", "errors", "per_device", "pipeline_lock", "imbalanced", F.struct(F.lit(True).alias("layout"), F.lit(True).alias("ocr"), F.lit(True).alias("wired_table"), F.lit(False).alias("wireless_table"), F.lit(False).alias("formula_latex")).alias("capabilities"))).alias("status"))
 
 
-R.query("service_status")(status)
+def _status_sql() -> str:
+    from leafwright.operators.stats import IMBALANCE, PAGES, SHARDS_CTE, _us
+
+    d = lambda c: f"CAST({c} AS VARCHAR)"
+    lock = ["'\"samples\":' || count(*)"]
+    for c, n in (("npu_lock_wait_ms", "wait"), ("npu_lock_hold_ms", "hold")):
+        lock += [f"'\"{n}_total_us\":' || CAST(sum({_us(c)}) AS BIGINT)", f"'\"{n}_max_us\":' || max({_us(c)})", f"'\"{n}_avg_ms\":' || {d(f'round(sum({_us(c)}) / CAST(count(*) AS DOUBLE) / 1000.0::DOUBLE, 6)')}"]
+    lock_text = " || ',' || ".join(lock)
+    return f"""WITH {SHARDS_CTE}, {PAGES}, st AS (SELECT s.shard_id, s.device_id, coalesce(request_count, 0) AS request_count, coalesce(busy_us, 0) AS busy_us, coalesce(npu_busy_us, 0) AS npu_busy_us, round(coalesce(npu_busy_us / CAST(request_count AS DOUBLE) / 1000.0::DOUBLE, 0), 6) AS avg_infer_ms FROM shards s LEFT JOIN sh USING (shard_id)),
+    pd AS (SELECT '[' || string_agg('{{"shard_id":' || shard_id || CASE WHEN device_id IS NOT NULL THEN ',"device_id":' || device_id ELSE '' END || ',"request_count":' || request_count || ',"busy_us":' || busy_us || ',"npu_busy_us":' || npu_busy_us || ',"avg_infer_ms":' || {d('avg_infer_ms')} || '}}', ',' ORDER BY shard_id) || ']' AS t FROM st),
+    lk AS (SELECT '{{' || {lock_text} || '}}' AS t FROM pages), rq AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT failed) AS ok, count(*) FILTER (WHERE failed) AS bad FROM req),
+    im AS (SELECT round(max(request_count) / CAST(min(request_count) AS DOUBLE), 9) > {IMBALANCE} OR round(max(busy_us) / CAST(min(busy_us) AS DOUBLE), 9) > {IMBALANCE} AS f FROM sh WHERE request_count > 0 OR busy_us > 0)
+    SELECT '{{"status":"running","requests":' || n || ',"success":' || ok || ',"errors":' || bad || ',"per_device":' || pd.t || ',"pipeline_lock":' || lk.t || ',"imbalanced":' || CAST(f AS VARCHAR) || ',"capabilities":{{"layout":true,"ocr":true,"wired_table":true,"wireless_table":false,"formula_latex":false}}}}' AS status FROM rq, pd, lk, im"""
+
+
+R.query("service_status", _status_sql())(status)

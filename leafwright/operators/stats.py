@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.plans.ranking import percentiles, running
 from leafwright.plans.registry import Registry
 from leafwright.sources import load
 
@@ -55,12 +56,30 @@ def total(c: Column | str, digits: int = 3) -> Column:
     return F.round(F.coalesce(F.sum(c), F.lit(0.0)), digits)
 
 
-def summary(value: Column, prefix: str = "") -> list[Column]:
-    """count, min, mean, max and interpolated p50 and p95 of a group; zeros for an empty one."""
+def moments(value: Column, prefix: str = "") -> list[Column]:
+    """count, min, mean and max of a group; zeros for an empty one."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     mean = F.sum(F.floor(value * 1000.0 + 0.5).cast("long")) / F.count(value) / 1000.0  # summed as whole microseconds, so in any order the same
+    return [F.count(value).alias(prefix + "n"), zero(F.min(value)).alias(prefix + "min"), F.round(zero(F.when(F.count(value) > 0, mean)), 9).alias(prefix + "mean"), zero(F.max(value)).alias(prefix + "max")]
+
+
+def summary(value: Column, prefix: str = "") -> list[Column]:
+    """`moments`, and p50 and p95, as plain aggregates: for groups whose distinct values fit one task. `summarised` takes groups of any size."""
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return [F.count(value).alias(prefix + "n"), zero(F.min(value)).alias(prefix + "min"), F.round(zero(F.when(F.count(value) > 0, mean)), 9).alias(prefix + "mean"), zero(F.max(value)).alias(prefix + "max"), F.round(zero(p[0]), 6).alias(prefix + "p50"), F.round(zero(p[1]), 6).alias(prefix + "p95")]
+    return [*moments(value, prefix), *[F.round(F.coalesce(p[i], F.lit(0.0)), 6).alias(prefix + k) for i, k in enumerate(("p50", "p95"))]]
+
+
+def summarised(rows: DataFrame, group: str, values: dict[str, Column]) -> DataFrame:
+    """Exact summaries of several values per group: `moments`, and p50 and p95 interpolated on rank p (n - 1), each under its prefix.
+
+    Ordered by `ranking.percentiles`, so that no task holds a group.
+    """
+    first = rows.groupBy(group).agg(*[m for prefix, v in values.items() for m in moments(v, prefix)])
+    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(p).alias("which"), v.alias("value")) for p, v in values.items()])).alias("x")).select(group, "x.*")
+    points = percentiles(long, [group, "which"], "value", {"p50": 0.5, "p95": 0.95})
+    wide = points.groupBy(F.col(group).alias("_g")).agg(*[F.max(F.when(F.col("which") == p, F.col(k))).alias(p + k) for p in values for k in ("p50", "p95")])
+    both = first.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    return both.select(group, *[F.round(F.coalesce(p + k, F.lit(0.0)), 6).alias(p + k) if k in ("p50", "p95") else F.col(p + k) for p in values for k in ("n", "min", "mean", "max", "p50", "p95")])
 
 
 def _summary_sql(v: str, prefix: str = "") -> str:
@@ -83,7 +102,7 @@ def tracked_time(spark, sf_dir):
 @R.query("latency_percentiles", f"WITH {REQ} SELECT case_name, {_summary_sql(_fin('latency_ms'))} FROM req GROUP BY case_name")
 def latency_percentiles(spark, sf_dir):
     """Exact summary of latencies per case (the approximate one for any size is in the training-data subpackage)."""
-    return requests(spark, sf_dir, "case_name", "latency_ms").groupBy("case_name").agg(*summary(finite("latency_ms")))
+    return summarised(requests(spark, sf_dir, "case_name", "latency_ms"), "case_name", {"": finite("latency_ms")})
 
 
 @R.query("bench_summary", f"WITH {PAGES} SELECT page_index AS case_id, {', '.join(f'round(coalesce(avg({c}), 0), 6) AS mean_{c}' for c in STAGES)}, {_summary_sql('total_ms', 'total_')} FROM pages WHERE page_index < 5 GROUP BY page_index")
@@ -93,7 +112,9 @@ def bench_summary(spark, sf_dir):
 
 
 def bench_figures(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.col("page_index").alias("case_id")).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias("mean_" + c) for c in STAGES], *summary(F.col("total_ms"), "total_"))
+    rows = rows.withColumnRenamed("page_index", "case_id")
+    means = rows.groupBy(F.col("case_id").alias("_c")).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias("mean_" + c) for c in STAGES])
+    return means.join(summarised(rows, "case_id", {"total_": F.col("total_ms")}), F.col("_c").eqNullSafe(F.col("case_id"))).drop("_c")
 
 
 @R.query("bench_summary_whole")
@@ -194,7 +215,7 @@ def wave_throughput(spark, sf_dir):
 @R.query("wave_summary", f"WITH {REQ}, wv AS (SELECT s.topology, r.* FROM req r JOIN shards s USING (shard_id)) SELECT topology, " + ", ".join(_summary_sql(_fin(c), c + "_") for c in TIMINGS) + " FROM wv GROUP BY topology")
 def wave_summary(spark, sf_dir):
     """Exact summaries of the six timings per topology."""
-    return _waves(spark, sf_dir, *TIMINGS).groupBy("topology").agg(*[x for c in TIMINGS for x in summary(finite(c), c + "_")])
+    return summarised(_waves(spark, sf_dir, *TIMINGS), "topology", {c + "_": finite(c) for c in TIMINGS})
 
 
 SCALING_CTE = f"""{REQ}, dv AS (SELECT s.device_id AS dev, r.ts FROM req r JOIN shards s USING (shard_id) WHERE s.device_id IS NOT NULL), steps AS (SELECT unnest([1, 2, 3]) AS devices),
@@ -253,9 +274,9 @@ def pages_per_second(spark, sf_dir):
     k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY inflight, distance) AS rn FROM c) SELECT request_id, shard_id AS routed_to, inflight FROM k WHERE rn = 1""")
 def least_inflight_route(spark, sf_dir):
     """Shard with the fewest requests in flight, searched round-robin from the request's start; the load is a formula of request and shard. No join: the candidates are an array."""
-    n = 8
     r = requests(spark, sf_dir)
-    shard = F.array(*[F.lit(i) for i in sorted(x[0] for x in load(spark, sf_dir, "shards", "shard_id").distinct().collect())])  # a fixed table of 8
+    ids = sorted(x[0] for x in load(spark, sf_dir, "shards", "shard_id").where("shard_id IS NOT NULL").distinct().collect())  # a fixed table of 8
+    n, shard = max(1, len(ids)), F.array(*map(F.lit, ids)).cast("array<int>")
     options = F.transform(shard, lambda s: F.struct(F.pmod(s * 31 + F.col("request_id") * 7, F.lit(5)).cast("int").alias("inflight"), F.pmod(s - F.col("request_id") % n + n, F.lit(n)).cast("int").alias("distance"), s.alias("shard_id")))
     return r.select("request_id", F.array_min(options).alias("best")).select("request_id", F.col("best.shard_id").alias("routed_to"), F.col("best.inflight").alias("inflight"))
 
@@ -274,3 +295,73 @@ def late_results(spark, sf_dir):
     last = r.agg(F.max("request_id").alias("last_id"))
     delay = F.unix_micros("received_at") - F.unix_micros("ts")
     return r.join(F.broadcast(last)).select("request_id", delay.alias("delay_us"), (delay > 30_000_000).alias("timed_out"), (F.col("request_id") < F.col("last_id") - 4096).alias("prunable"))  # one row
+
+
+#: Stages that make up the tracked time of a page; a table that doesn't record one counts it as 0.
+TRACKED_STAGES = ("layout_ms", "ocr_ms", "table_ms", "figure_ms", "formula_ms", "unsupported_ms", "reading_order_ms")
+
+
+def tracked(rows: DataFrame) -> Column:
+    """Sum of the tracked stages of a page; serial, CPU and lock times overlap these and stay out."""
+    return sum((F.coalesce(c, F.lit(0.0)) for c in TRACKED_STAGES if c in rows.columns), F.lit(0.0))
+
+
+@R.query("document_tracked_time", f"""WITH {PAGES}, d AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS pages, CAST(sum({_us('layout_ms')} + {_us('ocr_ms')} + {_us('table_ms')}) AS BIGINT) AS stage_us FROM pages GROUP BY doc_id),
+    o AS (SELECT DISTINCT doc_id, total_pages * 1000 + doc_id % 7 * 10 AS render_us, doc_id % 11 * 100 AS output_us FROM parse_jobs) SELECT doc_id, pages, stage_us, render_us, output_us, stage_us + coalesce(render_us, 0) + coalesce(output_us, 0) AS tracked_us FROM d LEFT JOIN o USING (doc_id)""")
+def document_tracked_time(spark, sf_dir):
+    """Tracked time of documents. Rendering and output are known for documents alone; they are kept when pages are summed again. Their times are formulas of the job."""
+    by_doc = pages(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(to_us("layout_ms") + to_us("ocr_ms") + to_us("table_ms")).alias("stage_us"))
+    own = load(spark, sf_dir, "parse_jobs", "doc_id", "total_pages").distinct().select("doc_id", (F.col("total_pages") * 1000 + F.col("doc_id") % 7 * 10).alias("render_us"), (F.col("doc_id") % 11 * 100).alias("output_us"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return by_doc.join(own, "doc_id", "left").withColumn("tracked_us", F.col("stage_us") + zero("render_us") + zero("output_us"))
+
+
+@R.query("lock_stage_totals", f"WITH {PAGES} " + " UNION ALL ".join(f"SELECT '{c}' AS stage, count(*) FILTER (WHERE {_us(c)} > 0) AS samples, CAST(sum({_us(c)}) AS BIGINT) AS total_us, max({_us(c)}) AS max_us FROM pages" for c in STAGES))
+def lock_stage_totals(spark, sf_dir):
+    """Samples, total and longest time of each stage under the lock, in whole microseconds."""
+    long = pages(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(c).alias("stage"), to_us(c).alias("us")) for c in STAGES])).alias("x")).select("x.*")
+    return long.groupBy("stage").agg(F.count_if(F.col("us") > 0).alias("samples"), F.sum("us").alias("total_us"), F.max("us").alias("max_us"))
+
+
+@R.query("shard_inflight", f"WITH {REQ}, t AS (SELECT max(epoch_us(ts)) - 3600000000 AS now FROM req) SELECT shard_id, count(*) FILTER (WHERE epoch_us(ts) <= now AND epoch_us(ts) + {_us('latency_ms')} > now) AS inflight FROM req, t GROUP BY shard_id")
+def shard_inflight(spark, sf_dir):
+    """Requests of each shard that were running an hour before the last one came."""
+    r = requests(spark, sf_dir, "shard_id", "ts", "latency_ms").withColumn("at", F.unix_micros("ts"))
+    now = r.agg((F.max("at") - 3_600_000_000).alias("now"))
+    running_ = (F.col("at") <= F.col("now")) & (F.col("at") + to_us("latency_ms") > F.col("now"))
+    return r.join(F.broadcast(now)).groupBy("shard_id").agg(F.count_if(running_).alias("inflight"))  # one row
+
+
+@R.query("fleet_devices", f"WITH {SHARDS_CTE} SELECT s.topology, s.device_id, count(*) AS shards, CAST(sum(coalesce(request_count, 0)) AS BIGINT) AS samples, CAST(max(coalesce(busy_us, 0)) AS BIGINT) AS busiest_us, CAST(max(coalesce(route_queue_us, 0)) AS BIGINT) AS longest_queue_us FROM shards s LEFT JOIN sh USING (shard_id) GROUP BY ALL")
+def fleet_devices(spark, sf_dir):
+    """The devices of all backends as one list, with samples and the largest of their shards' figures."""
+    return shard_status(spark, sf_dir).withColumn("route_queue_us", F.coalesce("route_queue_us", F.lit(0))).groupBy("topology", "device_id").agg(F.count("*").alias("shards"), F.sum("request_count").alias("samples"), F.max("busy_us").alias("busiest_us"), F.max("route_queue_us").alias("longest_queue_us"))
+
+
+@R.query("result_matching", f"""WITH {REQ}, jb AS (SELECT request_id, min(submitted_at) AS first_result FROM (SELECT DISTINCT ON (doc_id) * FROM parse_jobs) GROUP BY request_id), last AS (SELECT max(request_id) AS last_id FROM req)
+    SELECT r.request_id, epoch_us(j.first_result) - epoch_us(r.ts) AS wait_us, CASE WHEN j.request_id IS NULL THEN 'missing' WHEN epoch_us(j.first_result) < epoch_us(r.ts) THEN 'stale' WHEN epoch_us(j.first_result) - epoch_us(r.ts) > 30000000 THEN 'timed_out' ELSE 'matched' END AS outcome, r.request_id < last_id - 4096 AS pruned FROM req r LEFT JOIN jb j USING (request_id), last""")
+def result_matching(spark, sf_dir):
+    """Tasks (requests) with their first result (job) by id: matched, stale (before the task), timed out after 30 s, or missing; ids 4096 behind the last are forgotten."""
+    tasks = requests(spark, sf_dir, "ts")
+    results = load(spark, sf_dir, "parse_jobs", "doc_id", "request_id", "submitted_at").dropDuplicates(["doc_id"]).groupBy("request_id").agg(F.min("submitted_at").alias("first_result"), F.lit(True).alias("has"))
+    last = tasks.agg(F.max("request_id").alias("last_id"))
+    wait = F.unix_micros("first_result") - F.unix_micros("ts")
+    outcome = F.when(F.col("has").isNull(), "missing").when(wait < 0, "stale").when(wait > 30_000_000, "timed_out").otherwise("matched")
+    return tasks.join(results, "request_id", "left").join(F.broadcast(last)).select("request_id", wait.alias("wait_us"), outcome.alias("outcome"), (F.col("request_id") < F.col("last_id") - 4096).alias("pruned"))  # one row
+
+
+@R.query("task_ids", f"WITH {REQ} SELECT request_id, row_number() OVER (ORDER BY ts, request_id) - 1 AS task_id FROM req")
+def task_ids(spark, sf_dir):
+    """Dense ids that rise in the order of arrival, numbered partition by partition."""
+    return running(requests(spark, sf_dir, "ts"), [], ["ts", "request_id"], into="task_id").select("request_id", "task_id")
+
+
+@R.query("bench_cases", f"WITH {PAGES}, c AS (SELECT unnest(['single_page', 'multi_page', 'ocr_only', 'table_heavy', 'full_chain']) AS case_name), t AS (SELECT c.case_name, p.doc_id, sum(CASE c.case_name WHEN 'ocr_only' THEN {_us('layout_ms')} + {_us('ocr_ms')} WHEN 'table_heavy' THEN {_us('layout_ms')} + {_us('table_ms')} WHEN 'full_chain' THEN {_us('layout_ms')} + {_us('ocr_ms')} + {_us('table_ms')} ELSE {_us('layout_ms')} END) AS us, count(*) AS pages FROM pages p, c WHERE CASE c.case_name WHEN 'single_page' THEN p.page_index = 0 WHEN 'full_chain' THEN p.page_index < 2 ELSE true END GROUP BY ALL) SELECT case_name, count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(min(us) AS BIGINT) AS min_us, CAST(max(us) AS BIGINT) AS max_us, round(sum(us) / CAST(count(*) AS DOUBLE), 6) AS mean_us FROM t GROUP BY case_name")
+def bench_cases(spark, sf_dir):
+    """The five bench cases over recorded pages: layout of the first page, of all pages, with text, with tables, and the whole chain on two pages."""
+    layout, ocr, table = to_us("layout_ms"), to_us("ocr_ms"), to_us("table_ms")
+    first, two = F.col("page_index") == 0, F.col("page_index") < 2
+    cases = {"single_page": F.when(first, layout), "multi_page": layout, "ocr_only": layout + ocr, "table_heavy": layout + table, "full_chain": F.when(two, layout + ocr + table)}
+    long = pages(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("case_name"), v.alias("us")) for k, v in cases.items()])).alias("x")).select("doc_id", "x.*").where("us IS NOT NULL")
+    per = long.groupBy("case_name", "doc_id").agg(F.sum("us").alias("us"), F.count("*").alias("pages"))
+    return per.groupBy("case_name").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.min("us").alias("min_us"), F.max("us").alias("max_us"), F.round(F.sum("us") / F.count("*"), 6).alias("mean_us"))

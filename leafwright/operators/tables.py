@@ -83,15 +83,15 @@ def table_validity(spark, sf_dir):
     return validity(_derived(spark, sf_dir, "cells")).drop("malformed")
 
 
-REASON = "CASE WHEN NOT valid_box THEN 'invalid_table_bbox' WHEN NOT supported THEN CASE WHEN kind = 'WIRELESS' THEN 'wireless_table' ELSE 'table_model_unavailable' END WHEN illegal IS NULL THEN 'no_cell_table' WHEN illegal THEN 'illegal_table_structure' END"
+REASON = "CASE WHEN NOT valid_box THEN 'invalid_table_bbox' WHEN NOT supported THEN CASE WHEN kind = 'WIRELESS' THEN 'wireless_table' ELSE 'table_model_unavailable' END WHEN illegal IS NULL THEN 'no_cell_table' WHEN illegal THEN 'illegal_table_structure' WHEN empty_html THEN 'empty_table_html' END"
 
 
-@R.query("table_fallback_reason", f"""{VALID}, tb AS (SELECT o_orderkey AS table_id, o_orderkey % 11 <> 3 AS valid_box, o_orderkey % 13 <> 5 AS supported, CASE WHEN o_orderkey % 2 = 1 THEN 'WIRELESS' ELSE 'UNKNOWN' END AS kind FROM orders),
+@R.query("table_fallback_reason", f"""{VALID}, tb AS (SELECT o_orderkey AS table_id, o_orderkey % 11 <> 3 AS valid_box, o_orderkey % 13 <> 5 AS supported, CASE WHEN o_orderkey % 2 = 1 THEN 'WIRELESS' ELSE 'UNKNOWN' END AS kind, o_orderkey % 17 = 4 AS empty_html FROM orders),
     j AS (SELECT tb.*, overlap OR hole AS illegal FROM tb LEFT JOIN val USING (table_id)), f AS (SELECT table_id, {REASON} AS reason FROM j) SELECT *, CASE WHEN reason IS NOT NULL THEN '[Unsupported table: ' || reason || ']' END AS text FROM f""")
 def table_fallback_reason(spark, sf_dir):
     """First reason, in order, why a table can't be shown as a grid; null where it can."""
     orders = load(spark, sf_dir, "orders", F.col("o_orderkey").alias("table_id"))
-    t = orders.withColumn("valid_box", F.col("table_id") % 11 != 3).withColumn("supported", F.col("table_id") % 13 != 5).withColumn("kind", F.when(F.col("table_id") % 2 == 1, "WIRELESS").otherwise("UNKNOWN"))
+    t = orders.withColumn("valid_box", F.col("table_id") % 11 != 3).withColumn("supported", F.col("table_id") % 13 != 5).withColumn("kind", F.when(F.col("table_id") % 2 == 1, "WIRELESS").otherwise("UNKNOWN")).withColumn("empty_html", F.col("table_id") % 17 == 4)
     v = validity(_derived(spark, sf_dir, "cells")).select("table_id", (F.col("overlap") | F.col("hole") | F.col("malformed")).alias("illegal"))
     return t.join(v, "table_id", "left").select("table_id", F.expr(REASON).alias("reason")).withColumn("text", F.when(F.col("reason").isNotNull(), F.concat(F.lit("[Unsupported table: "), "reason", F.lit("]"))))
 
@@ -205,17 +205,130 @@ def table_grid_query(spark, sf_dir):
 
 
 ALPHA, ANGLE = 100.0, 50.0
+ENDS = (("x1", "y1", "x1", "y1"), ("x1", "y1", "x2", "y2"), ("x2", "y2", "x1", "y1"), ("x2", "y2", "x2", "y2"))
+RULES_CTE = "ru AS (SELECT table_id, line_index, CAST(x0 AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y1, CAST(x1 AS DOUBLE) AS x2, CAST(y0 + (line_index + table_id) % 3 AS DOUBLE) AS y2 FROM ocr)"
 
 
-@R.query("line_bridges", f"""{T}, s AS (SELECT table_id, line_index, x0, (y0 + y1) / 2.0::DOUBLE AS y, x1 FROM ocr), p AS (SELECT a.table_id, a.line_index AS left_line, b.line_index AS right_line, b.x0 - a.x1 AS dx, b.y - a.y AS dy FROM s a JOIN s b ON a.table_id = b.table_id AND a.line_index <> b.line_index)
-    SELECT table_id, left_line, right_line, round(sqrt(dx * dx + dy * dy), 6) AS gap FROM p WHERE dx > 0 AND sqrt(dx * dx + dy * dy) < {ALPHA}::DOUBLE AND degrees(atan(abs(dy) / dx)) < {ANGLE}::DOUBLE""")
+def rules_of(spark, sf_dir) -> DataFrame:
+    """Nearly level rules, one for each derived line."""
+    d = lambda c: c.cast("double")
+    y = F.col("y0")
+    return _derived(spark, sf_dir, "ocr").select("table_id", "line_index", d(F.col("x0")).alias("x1"), d(y).alias("y1"), d(F.col("x1")).alias("x2"), d(y + (F.col("line_index") + F.col("table_id")) % 3).alias("y2"))
+
+
+def bridges(rules: DataFrame, longest: float = ALPHA, steepest: float = ANGLE) -> DataFrame:
+    """New rules between the ends of two rules of a table, in each order and for all four pairs of ends, that are short and flat enough.
+
+    Rules of which one covers the middle of the other, in either direction, are left out.
+    """
+    a = rules.select("table_id", F.col("line_index").alias("from_line"), *[F.col(k).alias("a" + k) for k in ("x1", "y1", "x2", "y2")])
+    b = rules.select("table_id", F.col("line_index").alias("to_line"), *[F.col(k).alias("b" + k) for k in ("x1", "y1", "x2", "y2")])
+    middle = lambda p, k: (F.col(f"{p}{k}1") + F.col(f"{p}{k}2")) / 2
+    covers = lambda p, q, k: (F.col(f"{p}{k}1") < middle(q, k)) & (middle(q, k) < F.col(f"{p}{k}2"))
+    apart = ~(covers("b", "a", "x") | covers("b", "a", "y") | covers("a", "b", "x") | covers("a", "b", "y"))
+    pairs = a.join(b, "table_id").where((F.col("from_line") != F.col("to_line")) & apart)
+    each = pairs.select("table_id", "from_line", "to_line", F.explode(F.array(*[F.struct(F.lit(i).alias("ends"), F.col("a" + p).alias("x1"), F.col("a" + q).alias("y1"), F.col("b" + r).alias("x2"), F.col("b" + t).alias("y2")) for i, (p, q, r, t) in enumerate(ENDS)])).alias("n")).select("table_id", "from_line", "to_line", "n.*")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return each.withColumn("gap", F.sqrt(dx * dx + dy * dy)).where((F.col("gap") < longest) & (F.degrees(F.atan(F.abs(dy / (dx + 1e-10)))) < steepest))
+
+
+_COVER = "({p}.{k}1 < ({q}.{k}1 + {q}.{k}2) / 2 AND ({q}.{k}1 + {q}.{k}2) / 2 < {p}.{k}2)"
+
+
+@R.query("line_bridges", f"""{T}, {RULES_CTE}, p AS (SELECT a.table_id, a.line_index AS from_line, b.line_index AS to_line, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM ru a JOIN ru b ON a.table_id = b.table_id AND a.line_index <> b.line_index WHERE NOT ({' OR '.join(_COVER.format(p=p, q=q, k=k) for p, q in (('b', 'a'), ('a', 'b')) for k in 'xy')})),
+    e AS ({' UNION ALL '.join(f'SELECT table_id, from_line, to_line, {i} AS ends, b{r} - a{p} AS dx, b{t} - a{q} AS dy FROM p' for i, (p, q, r, t) in enumerate(ENDS))})
+    SELECT table_id, from_line, to_line, ends, round(sqrt(dx * dx + dy * dy), 6) AS gap FROM e WHERE sqrt(dx * dx + dy * dy) < {ALPHA}::DOUBLE AND degrees(atan(abs(dy / (dx + 1e-10::DOUBLE)))) < {ANGLE}::DOUBLE""")
 def line_bridges(spark, sf_dir):
-    """Bridges from the right end of a rule to the left end of another of its table, short and flat enough."""
-    s = _derived(spark, sf_dir, "ocr").select("table_id", "line_index", "x0", ((F.col("y0") + F.col("y1")) / 2).alias("y"), "x1")
-    a, b = s.select("table_id", F.col("line_index").alias("left_line"), F.col("x1").alias("ax"), F.col("y").alias("ay")), s.select("table_id", F.col("line_index").alias("right_line"), F.col("x0").alias("bx"), F.col("y").alias("by"))
-    p = a.join(b, "table_id").where("left_line <> right_line AND bx > ax").withColumn("dx", F.col("bx") - F.col("ax")).withColumn("dy", F.col("by") - F.col("ay"))
-    gap = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return p.where((gap < ALPHA) & (F.degrees(F.atan(F.abs("dy") / F.col("dx"))) < ANGLE)).select("table_id", "left_line", "right_line", F.round(gap, 6).alias("gap"))
+    return bridges(rules_of(spark, sf_dir)).select("table_id", "from_line", "to_line", "ends", F.round("gap", 6).alias("gap"))
+
+
+@R.query("table_lines", f"""{T}, {RULES_CTE}, p AS (SELECT a.table_id, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM ru a JOIN ru b ON a.table_id = b.table_id AND a.line_index <> b.line_index WHERE NOT ({' OR '.join(_COVER.format(p=p, q=q, k=k) for p, q in (('b', 'a'), ('a', 'b')) for k in 'xy')})),
+    e AS ({' UNION ALL '.join(f'SELECT table_id, b{r} - a{p} AS dx, b{t} - a{q} AS dy FROM p' for p, q, r, t in ENDS)}), n AS (SELECT table_id FROM e WHERE sqrt(dx * dx + dy * dy) < {ALPHA}::DOUBLE AND degrees(atan(abs(dy / (dx + 1e-10::DOUBLE)))) < {ANGLE}::DOUBLE)
+    SELECT table_id, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(bridged) AS BIGINT) AS bridged FROM (SELECT table_id, 1 AS detected, 0 AS bridged FROM ru UNION ALL SELECT table_id, 0, 1 FROM n) GROUP BY table_id""")
+def table_lines(spark, sf_dir):
+    """Detected rules and the bridges between them as one set, counted by table."""
+    rules = rules_of(spark, sf_dir)
+    kinds = rules.select("table_id", F.lit(1).alias("detected"), F.lit(0).alias("bridged")).unionAll(bridges(rules).select("table_id", F.lit(0), F.lit(1)))
+    return kinds.groupBy("table_id").agg(F.sum("detected").alias("detected"), F.sum("bridged").alias("bridged"))
+
+
+def join_rules(rules: DataFrame) -> DataFrame:
+    """table_id, line_index, is_row, x1, y1, x2, y2: the rules of each table drawn out to each other, rows and columns in the order of their index."""
+    from leafwright.functions.raster import joined_rules
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        line = np.stack([t.column(k).to_numpy() for k in ("x1", "y1", "x2", "y2")], axis=1).astype(float)
+        row = t.column("is_row").to_numpy(zero_copy_only=False)
+        for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
+            part, level = line[s:e], row[s:e]
+            part[level], part[~level] = joined_rules(part[level], part[~level])
+        keys = t.select(["table_id", "line_index", "is_row"])
+        for i, k in enumerate(("x1", "y1", "x2", "y2")):
+            keys = keys.append_column(k, pa.array(line[:, i]))
+        return keys
+
+    return grouped_arrow(rules, ["table_id"], run, "table_id bigint, line_index int, is_row boolean, x1 double, y1 double, x2 double, y2 double", order=["line_index"])
+
+
+@R.query("extended_lines")
+def extended_lines(spark, sf_dir):
+    """Rules of derived tables, odd ones turned upright, drawn out to each other."""
+    r = rules_of(spark, sf_dir).withColumn("is_row", F.col("line_index") % 2 == 0)
+    up = ~F.col("is_row")
+    return join_rules(r.select("table_id", "line_index", "is_row", "x1", "y1", F.when(up, F.col("x1")).otherwise(F.col("x2")).alias("x2"), F.when(up, F.col("y1") + 40).otherwise(F.col("y2")).alias("y2")))
+
+
+LETTERBOX = 768
+
+
+def letterbox(width: Column, height: Column, size: int = LETTERBOX) -> dict[str, Column]:
+    """Scale, size and padding of an image fitted into a square."""
+    scale = F.lit(float(size)) / F.greatest(width, height)
+    w, h = (width * scale).cast("int"), (height * scale).cast("int")
+    return {"scale": scale, "fit_w": w, "fit_h": h, "pad_left": F.floor((size - w) / 2).cast("int"), "pad_top": F.floor((size - h) / 2).cast("int"), "resample": F.when(scale < 1, "area").otherwise("cubic")}
+
+
+@R.query("table_letterbox", f"WITH el AS (SELECT DISTINCT ON (elem_id) * FROM content_list), b AS (SELECT elem_id, CAST(trunc(x1) AS INT) - CAST(trunc(x0) AS INT) AS w, CAST(trunc(y1) AS INT) - CAST(trunc(y0) AS INT) AS h FROM el WHERE element_type = 'table'), s AS (SELECT *, {LETTERBOX}.0::DOUBLE / greatest(w, h) AS scale FROM b WHERE w > 0 AND h > 0), f AS (SELECT *, CAST(trunc(w * scale) AS INT) AS fit_w, CAST(trunc(h * scale) AS INT) AS fit_h FROM s) SELECT elem_id, round(scale, 9) AS scale, fit_w, fit_h, CAST(floor(({LETTERBOX} - fit_w) / 2.0) AS INT) AS pad_left, CAST(floor(({LETTERBOX} - fit_h) / 2.0) AS INT) AS pad_top, CASE WHEN scale < 1 THEN 'area' ELSE 'cubic' END AS resample, round(640.0::DOUBLE / w, 9) AS layout_scale_x, round(640.0::DOUBLE / h, 9) AS layout_scale_y FROM f")
+def table_letterbox(spark, sf_dir):
+    """How the image of each table is fitted into the model's square, and the factors of the plain resize for the layout model. Tables without area have no row."""
+    el = load(spark, sf_dir, "content_list", "elem_id", "element_type", "x0", "y0", "x1", "y1").where("element_type = 'table'").dropDuplicates(["elem_id"])
+    i = lambda c: F.col(c).cast("int")
+    b = el.select("elem_id", (i("x1") - i("x0")).alias("w"), (i("y1") - i("y0")).alias("h")).where("w > 0 AND h > 0")
+    box = letterbox(F.col("w"), F.col("h"))
+    return b.select("elem_id", *[(F.round(v, 9) if k == "scale" else v).alias(k) for k, v in box.items()], F.round(640.0 / F.col("w"), 9).alias("layout_scale_x"), F.round(640.0 / F.col("h"), 9).alias("layout_scale_y"))
+
+
+MOST_ROWS = 15
+
+
+def zipped_rows(a: DataFrame, b: DataFrame, key: str, most: int = MOST_ROWS) -> DataFrame:
+    """key, row_index, columns of two tables side by side and their difference, row by row up to the shorter one and `most` rows. Wants key, row_index, logical_columns."""
+    left, right = (t.where(F.col("row_index") < most).select(key, "row_index", F.col("logical_columns").alias(n)) for t, n in ((a, "columns_a"), (b, "columns_b")))
+    return left.join(right, [key, "row_index"]).withColumn("difference", F.col("columns_a") - F.col("columns_b"))
+
+
+@R.query("table_row_diff", f"""WITH el AS (SELECT DISTINCT ON (elem_id) * FROM content_list), t AS (SELECT elem_id, doc_id, regexp_extract(html, '(?s)<table.*?</table>') AS tab FROM el WHERE html IS NOT NULL), r AS (SELECT elem_id, doc_id, unnest(regexp_extract_all(tab, '(?s)<tr>(.*?)</tr>', 1)) AS tr, generate_subscripts(regexp_extract_all(tab, '(?s)<tr>(.*?)</tr>', 1), 1) - 1 AS row_index FROM t),
+    c AS (SELECT elem_id, doc_id, CAST(row_index AS INT) AS row_index, CAST(len(regexp_extract_all(tr, '<td[^>]*>')) + coalesce(list_sum(list_transform(regexp_extract_all(tr, 'colspan=.?([0-9]+)', 1), lambda x: CAST(x AS INT) - 1)), 0) AS INT) AS n FROM r WHERE row_index < {MOST_ROWS}),
+    o AS (SELECT elem_id, lead(elem_id) OVER (PARTITION BY doc_id ORDER BY elem_id) AS other FROM t) SELECT a.elem_id, a.row_index, a.n AS columns_a, b.n AS columns_b, a.n - b.n AS difference FROM o JOIN c a ON a.elem_id = o.elem_id JOIN c b ON b.elem_id = o.other AND b.row_index = a.row_index""")
+def table_row_diff(spark, sf_dir):
+    """Each table's rows against those of the next table of its document."""
+    rows = table_logical_columns(spark, sf_dir)
+    t = load(spark, sf_dir, "content_list", "elem_id", "doc_id", "html").dropDuplicates(["elem_id"]).where("html IS NOT NULL")
+    pairs = t.select("elem_id", F.lead("elem_id").over(Window.partitionBy("doc_id").orderBy("elem_id")).alias("other"))
+    other = pairs.join(rows.withColumnRenamed("elem_id", "other"), "other").select("elem_id", "row_index", "logical_columns")
+    return zipped_rows(rows, other, "elem_id")
+
+
+def html_page(body: Column, title: str = "table") -> Column:
+    """A whole page around the first table of a text; an empty body where it has none."""
+    head = f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{title}</title></head><body>\n'
+    return F.concat(F.lit(head), F.regexp_extract(F.coalesce(body, F.lit("")), "(?s)<table.*?</table>", 0), F.lit("\n</body></html>\n"))
+
+
+@R.query("table_pages", """WITH el AS (SELECT DISTINCT ON (elem_id) * FROM content_list) SELECT elem_id, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>table</title></head><body>' || chr(10) || coalesce(regexp_extract(html, '(?s)<table.*?</table>'), '') || chr(10) || '</body></html>' || chr(10) AS page FROM el WHERE element_type = 'table'""")
+def table_pages(spark, sf_dir):
+    el = load(spark, sf_dir, "content_list", "elem_id", "element_type", "html").where("element_type = 'table'").dropDuplicates(["elem_id"])
+    return el.select("elem_id", html_page(F.col("html")).alias("page"))
 
 
 @R.query("table_logical_columns", """WITH el AS (SELECT DISTINCT ON (elem_id) * FROM content_list), t AS (SELECT elem_id, regexp_extract(html, '(?s)<table.*?</table>') AS tab FROM el WHERE html IS NOT NULL), r AS (SELECT elem_id, unnest(regexp_extract_all(tab, '(?s)<tr>(.*?)</tr>', 1)) AS tr, generate_subscripts(regexp_extract_all(tab, '(?s)<tr>(.*?)</tr>', 1), 1) - 1 AS row_index FROM t)

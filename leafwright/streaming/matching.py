@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def windowed_totals(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", key: str = "event_type", value: str = "value") -> DataFrame:
@@ -28,7 +29,26 @@ def last_sample(samples: DataFrame, device: str = "device_id", value: str = "use
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source holds now and give the memory table; for tests and replays."""
+    """Run a stream over what its source holds now and give the memory table; for tests, whose results are small."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run a stream over what its source holds now in update mode and give the last row of each key.
+
+    Each batch writes the rows that it changed to a folder of its own, so a batch that is run again replaces itself; nothing goes to the driver, and
+    state older than the watermark is dropped.
+    """
+    spark = df.sparkSession
+    to = f"{folder.rstrip('/')}/rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder.rstrip('/')}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(to)
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
