@@ -8,8 +8,8 @@ Scale: the plan depends only on how many items there are of each size, and there
 most `capacity` sizes. So the histogram (bounded by the capacity, whatever the data) goes
 to the driver, the greedy runs there on counts (a step places all equal items into all
 equal gaps at once), and items find their container by their rank within their size. Ranks come
-from salted partial numberings, so a size that a third of all items share is numbered by
-many tasks. No item ever reaches the driver.
+from numbering range partitions one by one, so a size that most items share is numbered by
+as many tasks as its items need. No item ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.tokens import spread
+from leafwright.plans.ranking import running
 
-SALTS = 64
 
 
 class Gaps:
@@ -108,7 +107,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return runs, containers
 
 
-def pack(items: DataFrame, specs: list[tuple[str, int]], item_id: str = "doc_id", size: str = "n_tokens", salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, specs: list[tuple[str, int]], item_id: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """One row for each spec and piece: spec_name, item id, piece, pieces, tokens, container_id (0, 1, ... per spec).
 
     `specs` is a parameter table of (name, capacity); entries without a positive capacity are left out.
@@ -122,27 +121,19 @@ def pack(items: DataFrame, specs: list[tuple[str, int]], item_id: str = "doc_id"
         return spark.createDataFrame([], schema)
     n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     table = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(c).cast("long").alias("cap")) for i, (_, c) in enumerate(specs)])
-    base = items.select(F.col(item_id), n.alias("_n"), spread(F.col(item_id), salts).alias("_salt")).withColumn("_s", F.explode(table)).select(item_id, "_n", "_salt", "_s.spec", "_s.cap")
+    base = items.select(F.col(item_id), n.alias("_n")).withColumn("_s", F.explode(table)).select(item_id, "_n", "_s.spec", "_s.cap")
     pieces = F.greatest(F.ceil(F.col("_n") / F.col("cap")).cast("long"), F.lit(1))
     base = base.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    base = base.withColumn("tokens", F.when(F.col("piece") < F.col("pieces") - 1, F.col("cap")).otherwise(F.col("_n") - F.col("cap") * (F.col("pieces") - 1)))
-    ranked = base.withColumn("_r", F.row_number().over(Window.partitionBy("spec", "tokens", "_salt").orderBy(item_id, "piece")) - 1)
+    tokens = F.when(F.col("piece") < F.col("pieces") - 1, F.col("cap")).otherwise(F.col("_n") - F.col("cap") * (F.col("pieces") - 1))
+    base = base.select("spec", item_id, "piece", "pieces", tokens.cast("long").alias("tokens"))
+    ranked = running(base, ["spec", "tokens"], [item_id, "piece"], into="_r")  # a size that most items have is numbered in many tasks
 
-    counted = base.groupBy("spec", "tokens", "_salt").count().toArrow().to_pandas()  # at most specs x capacity x salts rows, whatever the data
-    counted = counted.sort_values(["spec", "tokens", "_salt"], kind="stable")
+    counted = base.groupBy("spec", "tokens").count().toArrow().to_pandas()  # at most specs x capacity rows, whatever the data
     width = max(c for _, c in specs) + 1
-    group = (counted["spec"].to_numpy(np.int64) * width + counted["tokens"].to_numpy(np.int64)) * salts + counted["_salt"].to_numpy(np.int64)
-    count = counted["count"].to_numpy(np.int64)
-    by_size = group // salts
-    cum = np.cumsum(count) - count
-    first_of = np.concatenate([[True], by_size[1:] != by_size[:-1]]) if len(group) else np.empty(0, bool)
-    offset = cum - np.maximum.accumulate(np.where(first_of, cum, 0)) if len(group) else cum
     run_key, run_from, run_bin, totals = [], [], [], []
     for i, (_, cap) in enumerate(specs):
-        mine = counted["spec"].to_numpy() == i
-        sizes, inv = np.unique(counted["tokens"].to_numpy(np.int64)[mine], return_inverse=True)
-        per = np.bincount(inv, weights=count[mine]).astype(np.int64) if len(sizes) else []
-        runs, used = plan(dict(zip(sizes.tolist(), np.asarray(per).tolist())), cap)
+        mine = counted[counted["spec"] == i]
+        runs, used = plan(dict(zip(mine["tokens"].tolist(), mine["count"].tolist())), cap)
         totals.append(max(1, used))
         for s, r, _n, b in sorted(runs):
             run_key.append(i * width + s)
@@ -150,29 +141,27 @@ def pack(items: DataFrame, specs: list[tuple[str, int]], item_id: str = "doc_id"
             run_bin.append(b)
     # one sortable key for (spec, size, rank): run starts are found by searching twice
     key = np.asarray(run_key, dtype=np.int64)
-    tables = spark.sparkContext.broadcast((group, offset, key, np.asarray(run_from, dtype=np.int64), np.asarray(run_bin, dtype=np.int64), np.asarray(totals, dtype=np.int64), [s for s, _ in specs]))
+    tables = spark.sparkContext.broadcast((key, np.asarray(run_from, dtype=np.int64), np.asarray(run_bin, dtype=np.int64), np.asarray(totals, dtype=np.int64), [s for s, _ in specs]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, offset, key, start, to, totals, names = tables.value
+        key, start, to, totals, names = tables.value
         span = int(start.max()) + 1 if len(start) else 1
-        uniq, first = np.unique(key, return_index=True)
+        uniq = np.unique(key)
         dense = np.searchsorted(uniq, key).astype(np.float64) * span + start  # exact below 2**53
         name_arr = pa.array(names)
         for b in batches:
             spec = b.column("spec").to_numpy().astype(np.int64)
             size_ = b.column("tokens").to_numpy().astype(np.int64)
-            full = (spec * width + size_) * salts + b.column("_salt").to_numpy().astype(np.int64)
-            rank = b.column("_r").to_numpy().astype(np.int64) + offset[np.searchsorted(group, full)]
+            rank = b.column("_r").to_numpy().astype(np.int64)
             out = rank % totals[spec]
             some = size_ > 0
             if some.any():
-                k = spec[some] * width + size_[some]
-                d = np.searchsorted(uniq, k).astype(np.float64) * span + rank[some]
-                at = np.searchsorted(dense, np.minimum(d, np.searchsorted(uniq, k).astype(np.float64) * span + span - 1), side="right") - 1
+                k = np.searchsorted(uniq, spec[some] * width + size_[some]).astype(np.float64) * span
+                at = np.searchsorted(dense, np.minimum(k + rank[some], k + span - 1), side="right") - 1
                 out[some] = to[at] + rank[some] - start[at]
             yield pa.record_batch([name_arr.take(pa.array(spec)), b.column(item_id), b.column("piece"), b.column("pieces"), b.column("tokens"), pa.array(out)], names=["spec_name", item_id, "piece", "pieces", "tokens", "container_id"])
 
-    return ranked.select("spec", item_id, "piece", "pieces", F.col("tokens").cast("long"), "_salt", "_r").mapInArrow(assign, schema)
+    return ranked.select("spec", item_id, "piece", "pieces", "tokens", "_r").mapInArrow(assign, schema)
 
 
 def report(packed: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafwright.llm import packing, tokens
 from leafwright.plans.lineage import cut
@@ -24,9 +25,21 @@ def container_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(containers(spark, sf_dir), _specs(spark, sf_dir))
 
 
+def container_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for each capacity: every document once, no container over its capacity, every stored token placed."""
+    specs = _specs(spark, sf_dir)
+    packed = cut(containers(spark, sf_dir))
+    caps = F.create_map(*[x for n, c in specs for x in (F.lit(n), F.lit(int(c or 0)).cast("long"))])
+    over = packed.groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("t")).groupBy("spec_name").agg(F.count_if(F.col("t") > caps[F.col("spec_name")]).alias("overfull"))
+    stored = load(spark, sf_dir, "documents", "doc_id", F.col("n_tokens").alias("stored"))
+    whole = packed.groupBy("spec_name", "doc_id").agg(F.sum("tokens").alias("t")).join(stored, "doc_id")
+    sums = whole.groupBy("spec_name").agg(F.count("*").alias("documents"), F.sum(F.when(F.col("stored") >= 0, F.col("t"))).alias("stored_tokens"))
+    return sums.join(over, "spec_name").select("spec_name", "documents", "overfull", "stored_tokens")
+
+
 def queries() -> dict:
-    return {"p6_containers": containers, "p6_container_report": container_report}
+    return {"p6_containers": containers, "p6_container_report": container_report, "p6_container_check": container_check}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_container_check": "SELECT spec_name, count(*) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(sum(n_tokens) FILTER (WHERE n_tokens >= 0) AS BIGINT) AS stored_tokens FROM container_specs, documents GROUP BY spec_name"}
