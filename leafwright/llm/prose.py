@@ -45,10 +45,11 @@ LEADER = re.compile(r"[.·…_\-=]{4,}|(?:[.·] ){3,}")
 GAP = re.compile(r"\t|\S {2,}\S")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 CAMEL = re.compile(r"[a-z][A-Z0-9]|\d[A-Za-z]")
-SPLIT = re.compile(r"(?<=[.!?])[\s\"”»)]+|(?<=[。！？])|\n\s*\n")
+#: Where a sentence ends: its mark, and what goes before the next.
+SENTENCE = re.compile(r"[.!?。！？](?:(?<=[.!?])[\s\"”»)]+|(?<=[。！？]))")
+LEADER_HINT, AFTER_ENUMERATOR, BROKEN, DOT_DIGIT, TIGHT = re.compile(r"[.·…_\-=](?:[.·…_\-=]{3}| [.·] [.·] )"), re.compile(r"[.)](?=\s)"), re.compile(r"-\s*\n\s*"), re.compile(r"\.(?=\d)"), re.compile(r",\S")
 CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 ENUMERATOR = re.compile(r"(?:^|(?<=\n)|(?<=;))\s*\(?(?:\d{1,3}|[a-z])[.)](?=\s)")
-END = re.compile(r"[!?。！？]|\.(?!\d)")
 GARBLED = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]")  # UTF-8 read as Latin-1
 CELL = re.compile(r"^(?:n/a|[-–]|\d[\d.,]*%?|null|0x[0-9a-f]+)$", re.I)
 
@@ -67,38 +68,59 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()] or [text]
     tokens = text.split()
     words = WORD.findall(text)
-    cjk = len(CJK.findall(text))
+    plain = text.isascii()
+    cjk = 0 if plain else len(CJK.findall(text))
     letters = sum(map(len, words))
     counts = Counter(text)
-    digits = sum(v for c, v in counts.items() if c.isdigit())
-    blanks = sum(v for c, v in counts.items() if c.isspace())
+    digits = blanks = upper = 0
+    entropy = 0.0
+    for c, v in counts.items():
+        entropy += v * math.log2(v)
+        if c.isalpha():
+            upper += v * c.isupper()
+        elif c.isdigit():
+            digits += v
+        elif c.isspace():
+            blanks += v
+    entropy = math.log2(n) - entropy / n
+    of = lambda chars: sum(map(counts.__getitem__, chars))  # noqa: E731  a Counter has 0 for what isn't there
     symbols = n - blanks - letters - digits
-    flat = re.sub(r"-\s*\n\s*", "", ENUMERATOR.sub(" ", LEADER.sub(" ", text)))
-    flat = re.sub(r"\s*\n\s*", "" if cjk > letters * 0.3 and " " not in text.strip() else " ", flat)
-    ends = len(END.findall(flat))
-    in_sentence, lengths = 0, []
-    for s in SPLIT.split(flat):
-        s = s.strip()
+    leaders = LEADER.findall(text) if LEADER_HINT.search(text) else ()
+    flat = LEADER.sub(" ", text) if leaders else text
+    if any((flat[i - 1].isdecimal() or "a" <= flat[i - 1] <= "z") and not (i > 1 and flat[i - 2].isalpha()) for i in (m.start() for m in AFTER_ENUMERATOR.finditer(flat)) if i):
+        flat = ENUMERATOR.sub(" ", flat)
+    if "\n" in flat:
+        if "-" in flat:
+            flat = BROKEN.sub("", flat)
+        flat = ("" if cjk > letters * 0.3 and " " not in text.strip() else " ").join(filter(None, map(str.strip, flat.split("\n"))))
+    ends = sum(map(flat.count, ENDS)) - len(DOT_DIGIT.findall(flat))
+    in_sentence, lengths, at = 0, [], 0
+    for m in [*SENTENCE.finditer(flat), None]:
+        s = (flat[at:] if m is None else flat[at : m.start() + 1]).strip()
+        at = len(flat) if m is None else m.end()
         if not s or s[-1] not in ENDS:
             continue
         found = WORD.findall(s)
-        wide = len(CJK.findall(s))
+        wide = len(CJK.findall(s)) if cjk else 0
         size = len(found) if wide < 0.3 * len(s) else wide / 2 if " " not in s else max(wide / 3, len(found))
         if size >= 4 and sum(map(len, found)) > 0.55 * len(s):
             in_sentence += len(s)
             lengths.append(size)
-    common = sum(w.lower() in COMMON for w in words)
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
+    common = sum(map(COMMON.__contains__, map(str.lower, words)))
     trimmed = [x.strip() for x in lines]
     latin = [w for w in words if w.isascii() and len(w) > 1]
+    numbers = sum(bool(NUMBER.fullmatch(t.strip("(),;:"))) for t in tokens if t[0].isdecimal() or t[0] in "(,;:)") if digits else 0
+    cells = sum(bool(CELL.match(t)) for t in tokens if t[0] in "nN-–" or t[0].isdecimal())
+    camel = sum(bool(CAMEL.search(t)) for t in tokens) if CAMEL.search(text) else 0
+    hard = sum(bool(CONSONANTS.search(w)) for w in latin) if CONSONANTS.search(text) else 0
     return [
         float(n), float(len(lines)), float(len(words)), letters / max(1, len(words)), sum(map(len, trimmed)) / len(lines), symbols / n, digits / n, letters / n,
-        sum(x[-1] in ENDS for x in trimmed) / len(lines), 100 * max(0, ends) / n, min(1.0, in_sentence / max(1, len(flat.strip()))), float(np.mean(lengths)) if lengths else 0.0, max(lengths, default=0.0),
-        sum(bool(BULLET.match(x)) for x in lines) / len(lines), sum(bool(KEY.match(x)) for x in lines) / len(lines), sum(bool(GAP.search(x)) for x in lines) / len(lines), sum(map(len, LEADER.findall(text))) / n,
-        sum(counts.get(c, 0) for c in "|│¦") / n, 1 - len(set(trimmed)) / len(lines), entropy, common / max(1, len(words)), sum(counts.get(c, 0) for c in PARTICLES) / max(1, cjk), sum(len(t) == 1 for t in tokens) / max(1, len(tokens)),
-        sum(bool(NUMBER.fullmatch(t.strip("(),;:"))) for t in tokens) / max(1, len(tokens)), float(max(map(len, tokens), default=0)), sum(counts.get(c, 0) for c in "�■□¤§\\^~`<>{}[]$#@") / n + 2 * len(GARBLED.findall(text)) / n,
-        sum(bool(CONSONANTS.search(w)) for w in latin) / max(1, len(latin)), sum(v for c, v in counts.items() if c.isupper()) / max(1, letters), sum(len(x) < 30 for x in trimmed) / len(lines), len(re.findall(r",\S", text)) / n,
-        sum(bool(CELL.match(t)) for t in tokens) / max(1, len(tokens)), sum(counts.get(c, 0) for c in ";；") / n, sum(bool(CAMEL.search(t)) for t in tokens) / max(1, len(tokens)), cjk / n,
+        sum(x[-1] in ENDS for x in trimmed) / len(lines), 100 * max(0, ends) / n, min(1.0, in_sentence / max(1, len(flat.strip()))), sum(lengths) / len(lengths) if lengths else 0.0, max(lengths, default=0.0),
+        sum(bool(BULLET.match(x)) for x in lines) / len(lines), sum(bool(KEY.match(x)) for x in lines if ":" in x or "=" in x or "：" in x) / len(lines), sum(bool(GAP.search(x)) for x in lines if "  " in x or "\t" in x) / len(lines), sum(map(len, leaders)) / n,
+        of("|│¦") / n, 1 - len(set(trimmed)) / len(lines), entropy, common / max(1, len(words)), (of(PARTICLES) if cjk else 0) / max(1, cjk), sum(len(t) == 1 for t in tokens) / max(1, len(tokens)),
+        numbers / max(1, len(tokens)), float(max(map(len, tokens), default=0)), of("�■□¤§\\^~`<>{}[]$#@") / n + (0 if plain else 2 * len(GARBLED.findall(text)) / n),
+        hard / max(1, len(latin)), upper / max(1, letters), sum(len(x) < 30 for x in trimmed) / len(lines), len(TIGHT.findall(text)) / n,
+        cells / max(1, len(tokens)), of(";；") / n, camel / max(1, len(tokens)), cjk / n,
         sum(x[0].islower() for x in trimmed) / len(lines), float(trimmed[0][0].isupper() or bool(CJK.match(trimmed[0][0]))), float(trimmed[-1][-1] in ENDS),
     ]
 
@@ -219,8 +241,9 @@ def train(rows: DataFrame, row_id: str = "elem_id", text: str = "canonical", kin
     return Trees().fit(x, y).calibrate(hx, hy)
 
 
-def score(rows: DataFrame, model: Trees, keep: list[str], text: str = "canonical") -> DataFrame:
-    """`keep`, every statistic, prose_probability and is_prose for each row. Null and empty texts: zeros, probability 0, not prose."""
+def score(rows: DataFrame, model: Trees, keep: list[str], text: str = "canonical", statistics_too: bool = True) -> DataFrame:
+    """`keep`, every statistic (if wanted), prose_probability and is_prose for each row. Null and empty texts: zeros, probability 0, not prose."""
+    names = NAMES if statistics_too else ()
     types = dict(rows.dtypes)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -229,10 +252,10 @@ def score(rows: DataFrame, model: Trees, keep: list[str], text: str = "canonical
             x = _matrix(p[text])
             prob = np.where(x[:, _AT["n_words"]] + x[:, _AT["cjk_ratio"]] > 0, shared.value.probability(x), 0.0) if len(p) else np.empty(0)
             out = p[keep].copy()
-            for j, k in enumerate(NAMES):
+            for j, k in enumerate(names):
                 out[k] = x[:, j]
             out["prose_probability"], out["is_prose"] = prob, prob >= 0.5
             yield out
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", " + ", ".join(f"{k} double" for k in NAMES) + ", prose_probability double, is_prose boolean"
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *(f"{k} double" for k in names), "prose_probability double", "is_prose boolean"])
     return rows.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)

@@ -56,7 +56,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = language.label_texts(wanted, _model(spark, sf_dir)).select("elem_id", "doc_id", "canonical", "sentence_langs")
     jobs, langs = held(spark, sf_dir)
     extra = got.join(jobs, "doc_id", "left").withColumn("extra", F.array_except("sentence_langs", langs)).where(F.size("extra") > 0)
-    checked = prose.score(extra.select("elem_id", "extra", "canonical"), model_of(elements, patterns), ["elem_id", "extra"]).where("is_prose")
+    checked = prose.score(extra.select("elem_id", "extra", "canonical"), model_of(elements, patterns), ["elem_id", "extra"], statistics_too=False).where("is_prose")
     return checked.select("elem_id", F.explode("extra").alias("lang")).distinct()
 
 
