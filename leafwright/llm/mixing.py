@@ -18,6 +18,7 @@ Hot sources are split into groups of about `group_rows` documents, each of which
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -70,7 +71,7 @@ def fit_posterior(docs: DataFrame, label: str = "source", sample: int = SAMPLE)
 
     Counts are summed on the executors: what comes back is classes x buckets. None without labelled rows.
     """
-    labels = sorted(r[0] for r in docs.where(F.col(label).isNotNull()).select(label).distinct().collect())  # sources are few by contract: one row each in the report
+    labels = sorted(r[0] for r in _few(docs.where(F.col(label).isNotNull()).select(label).distinct()))
     if not labels:
         return None
     at = {c: i for i, c in enumerate(labels)}
@@ -111,6 +112,17 @@ def fit_posterior(docs: DataFrame, label: str = "source", sample: int = SAMPLE)
     return model
 
 
+MOST_SOURCES = 10_000
+
+
+def _few(rows: DataFrame) -> list:
+    """One row for each source. Sources are few by contract (the report has a row for each); more than `MOST_SOURCES` are refused."""
+    got = rows.limit(MOST_SOURCES + 1).collect()
+    if len(got) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    return got
+
+
 def rate_of(member: np.ndarray, cap: np.ndarray, gradients: list[np.ndarray], curvature: np.ndarray, step: float) -> np.ndarray:
     """Rates of rows of posteriors after the gradients so far, projected on [0, cap] after each."""
     w = np.zeros(len(member))
@@ -132,7 +144,7 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], total_tokens: fl
     sized = with_sizes(docs.select("doc_id", "text", "source", "n_tokens"), "text", "n_tokens", tokenizer)
     model = fit_posterior(docs, sample=sample)
     wanted = {s: (float(p or 0), int(r or 0)) for s, p, r in targets if s is not None}
-    hard = {r["source"]: (r["n"], float(r["t"] or 0)) for r in sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    hard = {r["source"]: (r["n"], float(r["t"] or 0)) for r in _few(sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")))}
     names = sorted(s for s, (p, r) in wanted.items() if p > 0 and r > 0 and hard.get(s, (0, 0))[1] > 0)
     k = len(names)
     share = np.array([wanted[s][0] for s in names])
@@ -184,6 +196,8 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], total_tokens: fl
             if np.abs(gap).max() <= 1e-4 * max(goal.max(), 1.0):
                 break
             gradients.append(gap * weight)
+        else:
+            warnings.warn(f"rates after {iterations} steps still miss a target by {np.abs(gap / np.maximum(goal, 1e-9)).max():.2%}", stacklevel=2)
         rates = dict(zip(names, rate_of(one, caps, gradients, curvature, step)))
         cap_map, history = cap_of, gradients
 
@@ -220,7 +234,7 @@ def whole_copies(sizes: np.ndarray, rate: float) -> np.ndarray:
     steps = np.floor(np.arange(len(sizes) + 1) * part + 0.5)
     extra = np.diff(steps) > 0
     need = part * sizes.sum() - sizes[extra].sum()
-    for _ in range(64):  # swap towards the rest; sizes are sorted
+    while need:  # swap towards the rest, which shrinks with every swap and keeps its sign; sizes are sorted
         if need > 0:
             free = np.flatnonzero(~extra & (sizes > 0) & (sizes <= need))
         else:

@@ -49,15 +49,18 @@ def late_batch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the digests count and what they leave out: valid, null, NaN and negative values per case and timing."""
-    rows = load(spark, sf_dir, "requests", "request_id", "case_name", *qd.METRICS).dropDuplicates(["request_id"])
+    """What the digests count and what they leave out: valid, null, NaN, negative and infinite values per case and timing. Ids count once; rows without an id count each."""
+    rows = load(spark, sf_dir, "requests", "request_id", "case_name", *qd.METRICS)
+    rows = rows.where("request_id IS NOT NULL").dropDuplicates(["request_id"]).unionByName(rows.where("request_id IS NULL"))
     long = rows.select("case_name", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in qd.METRICS])).alias("x")).select("case_name", "x.metric", "x.v")
-    good = F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") >= 0)
+    endless = F.abs("v") == float("inf")
+    good = F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") >= 0) & ~endless
     return long.groupBy("case_name", "metric").agg(
         F.count_if(good).alias("n_valid"),
         F.count_if(F.col("v").isNull()).alias("n_null"),
         F.count_if(F.isnan("v")).alias("n_nan"),
-        F.count_if(~F.isnan("v") & (F.col("v") < 0)).alias("n_negative"),
+        F.count_if(~F.isnan("v") & (F.col("v") < 0) & ~endless).alias("n_negative"),
+        F.count_if(endless).alias("n_infinite"),
     )
 
 
@@ -68,7 +71,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     union = " UNION ALL ".join(f"SELECT case_name, '{m}' AS metric, {m} AS v FROM r" for m in qd.METRICS)
     return {
-        "p1_value_counts": f"""WITH r AS (SELECT DISTINCT ON (request_id) * FROM requests), long AS ({union})
-            SELECT case_name, metric, count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0) AS n_valid, count(*) FILTER (WHERE v IS NULL) AS n_null,
-            count(*) FILTER (WHERE isnan(v)) AS n_nan, count(*) FILTER (WHERE NOT isnan(v) AND v < 0) AS n_negative FROM long GROUP BY case_name, metric"""
+        "p1_value_counts": f"""WITH r AS (SELECT * FROM (SELECT DISTINCT ON (request_id) * FROM requests WHERE request_id IS NOT NULL) UNION ALL SELECT * FROM requests WHERE request_id IS NULL), long AS ({union})
+            SELECT case_name, metric, count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND NOT isinf(v)) AS n_valid, count(*) FILTER (WHERE v IS NULL) AS n_null,
+            count(*) FILTER (WHERE isnan(v)) AS n_nan, count(*) FILTER (WHERE NOT isnan(v) AND v < 0 AND NOT isinf(v)) AS n_negative, count(*) FILTER (WHERE isinf(v)) AS n_infinite FROM long GROUP BY case_name, metric"""
     }

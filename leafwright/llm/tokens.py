@@ -6,30 +6,26 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = os.environ.get("LEAFWRIGHT_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def token_counter(path: str = TOKENIZER):
-    """Arrow UDF text -> token count. Null counts 0. Without the vocabulary file a token is taken to be 4 bytes of UTF-8."""
+    """Arrow UDF text -> token count. Null counts 0. A worker without the vocabulary file fails, as any other count would mix units."""
 
     @F.pandas_udf("bigint")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = None
-        if os.path.exists(path):
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no vocabulary at {path}; every executor needs it (LEAFWRIGHT_TOKENIZER names another)")
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
         for s in parts:
-            texts = s.fillna("").tolist()
-            if tok is None:
-                yield pd.Series([-(-len(t.encode()) // 4) for t in texts], dtype="int64")
-            else:
-                yield pd.Series([len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)], dtype="int64")
+            yield pd.Series([len(e.ids) for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
 
     return count
 
@@ -44,7 +40,3 @@ def with_sizes(docs: DataFrame, text: str = "text", size: str = "n_tokens", path
     lack = docs.where(~known | F.col(size).isNull()).withColumn(size, token_counter(path)(F.col(text))).drop(text)
     return have.unionByName(lack)
 
-
-def spread(col: Column, salts: int) -> Column:
-    """A salt in [0, salts) from the hash of a column."""
-    return F.pmod(F.xxhash64(col), F.lit(salts)).cast("int")
