@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from leafwright.operators import service
 from leafwright.sources import files
 
+SINGLE, MANY = "single_pipeline", "single_process_multi_device"
+
+
+def resolve_shards(topology: str | None, devices: list[int], default: int = -1, found: Callable[[], list[int]] = list) -> tuple[str, list[tuple[str, int]]]:
+    """Topology and (shard, device) list of a configuration: several devices make many of a single pipeline; devices count once, in order; without any, those found, else the default."""
+    name = (topology or "").lower() or SINGLE
+    if name == SINGLE and len(devices) > 1:
+        name = MANY
+    chosen = (devices or found() if name == MANY else devices[:1]) or [default]
+    return name, [(f"shard_{i}", d) for i, d in enumerate(sorted(set(chosen)))]
+
+
 Parse = Callable[[DataFrame], DataFrame]
 #: What annotation requests may ask for.
 FEATURES = ("TEXT_DETECTION", "DOCUMENT_TEXT_DETECTION")

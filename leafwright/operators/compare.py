@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.operators.service import parse_method
 from leafwright.operators.stats import REQ, requests
 from leafwright.plans.registry import Registry
 from leafwright.sources import load
@@ -62,6 +63,7 @@ def baseline_hash_check(spark, sf_dir):
 @R.query("gate_status", f"WITH {REQ}, g AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE failed) AS errors, count(DISTINCT shard_id) AS shards_used FROM req GROUP BY ALL) SELECT day, errors, shards_used, CASE WHEN errors > 0 THEN 'invalid_error_count_nonzero' WHEN shards_used < 8 THEN 'invalid_isolation_gate_failed' ELSE 'ok' END AS status, list_filter([CASE WHEN errors > 0 THEN 'error_count_nonzero=' || errors END, CASE WHEN shards_used < 8 THEN 'shards_used=' || shards_used END], lambda x: x IS NOT NULL) AS failures FROM g")
 def gate_status(spark, sf_dir):
     """Gates of each day: errors first, then isolation, with the failures as texts."""
+    # eight shards make up the fleet, as the gate's table says
     g = requests(spark, sf_dir, "ts", "failed", "shard_id").groupBy(F.to_date("ts").alias("day")).agg(F.count_if("failed").alias("errors"), F.countDistinct("shard_id").alias("shards_used"))
     fails = F.filter(F.array(F.when(F.col("errors") > 0, F.concat(F.lit("error_count_nonzero="), F.col("errors").cast("string"))), F.when(F.col("shards_used") < 8, F.concat(F.lit("shards_used="), F.col("shards_used").cast("string")))), lambda x: x.isNotNull())
     return g.withColumn("status", F.when(F.col("errors") > 0, "invalid_error_count_nonzero").when(F.col("shards_used") < 8, "invalid_isolation_gate_failed").otherwise("ok")).withColumn("failures", fails)
@@ -76,6 +78,14 @@ def duplicate_outputs(spark, sf_dir):
 DIFF = "added int, removed int, lines_a int, lines_b int"
 
 
+@R.query("duplicate_output_dirs", "WITH j AS (SELECT DISTINCT ON (doc_id) * FROM parse_jobs), o AS (SELECT stem || '/' || CASE WHEN lower(parse_method) IN ('ocr', 'txt') THEN lower(parse_method) ELSE 'auto' END || '/' || shard AS output_dir FROM (SELECT *, request_id % 3 AS shard FROM j)) SELECT substr(output_dir, 1, 4) AS prefix, count(*) AS jobs, count(DISTINCT output_dir) AS output_dirs, count(*) > count(DISTINCT output_dir) AS duplicated FROM o GROUP BY 1 HAVING count(*) > 1")
+def duplicate_output_dirs(spark, sf_dir):
+    """Jobs and output folders of each prefix of names, and whether jobs share a folder."""
+    j = load(spark, sf_dir, "parse_jobs", "doc_id", "request_id", "stem", "parse_method").dropDuplicates(["doc_id"])
+    out = F.concat("stem", F.lit("/"), parse_method(F.col("parse_method")), F.lit("/"), (F.col("request_id") % 3).cast("string"))
+    return j.select(out.alias("output_dir")).groupBy(F.substring("output_dir", 1, 4).alias("prefix")).agg(F.count("*").alias("jobs"), F.countDistinct("output_dir").alias("output_dirs")).withColumn("duplicated", F.col("jobs") > F.col("output_dirs")).where("jobs > 1")
+
+
 def line_diff(a: str | None, b: str | None) -> tuple[int, int, int, int]:
     """Lines that a unified diff without context adds and removes on the way from `a` to `b`, and the lines of both. Null is empty."""
     x, y = (a or "").splitlines(), (b or "").splitlines()

@@ -248,6 +248,21 @@ def layout_large_image_filter(spark, sf_dir):
     return marked.withColumn("_every", F.min("_large").over(page())).where(~F.col("_large") | F.col("_every")).select("page_id", "det_pos", "label")
 
 
+SPREAD = f"{SCORED}, big AS (SELECT page_id, det_pos, label, score_m, x0 // 8 AS x0, y0 // 8 AS y0, x0 // 8 + (x1 - x0) * 7 AS x1, y0 // 8 + (y1 - y0) * 9 AS y1 FROM cat)"
+
+
+@R.query("layout_page_images", f"""{SPREAD}, l AS (SELECT *, label = 'image' AND count(*) OVER (PARTITION BY page_id) > 1 AND CAST((least({PAGE_W}, x1) - least({PAGE_W}, greatest(0, x0))) * (least({PAGE_H}, y1) - least({PAGE_H}, greatest(0, y0))) AS DOUBLE) > 0.82::DOUBLE * {PAGE_W} * {PAGE_H} AS large FROM big),
+    w AS (SELECT *, label = 'image' AND count(*) OVER (PARTITION BY page_id) > 1 AND CAST((least({PAGE_H}, x1) - least({PAGE_H}, greatest(0, x0))) * (least({PAGE_W}, y1) - least({PAGE_W}, greatest(0, y0))) AS DOUBLE) > 0.93::DOUBLE * {PAGE_W} * {PAGE_H} AS large FROM big)
+    SELECT page_id, det_pos, label, 'portrait' AS form FROM (SELECT *, bool_and(large) OVER (PARTITION BY page_id) AS every FROM l) WHERE NOT large OR every UNION ALL SELECT page_id, det_pos, label, 'landscape' FROM (SELECT *, bool_and(large) OVER (PARTITION BY page_id) AS every FROM w) WHERE NOT large OR every""")
+def layout_page_images(spark, sf_dir):
+    """The filter of images as large as the page, with its own shares (0.82 upright, 0.93 lying), over boxes spread out so that some reach them."""
+    b = categorised(confident(detections(spark, sf_dir)))
+    left, top = F.floor(F.col("x0") / 8).cast("int"), F.floor(F.col("y0") / 8).cast("int")
+    big = b.select("page_id", "det_pos", "label", "score_m", left.alias("x0"), top.alias("y0"), (left + (F.col("x1") - F.col("x0")) * 7).alias("x1"), (top + (F.col("y1") - F.col("y0")) * 9).alias("y1"))
+    kept = lambda w, h, form: drop_page_images(big, w, h).select("page_id", "det_pos", "label", F.lit(form).alias("form"))
+    return kept(PAGE_W, PAGE_H, "portrait").unionByName(kept(PAGE_H, PAGE_W, "landscape"))
+
+
 @R.query("layout_postprocess", f"""{NMS_CTE}, c AS (SELECT page_id, label, category, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score_m DESC, det_pos) - 1 AS INT) AS box_index, score_m, greatest(0, x0) AS x0, greatest(0, y0) AS y0, least({PAGE_W}, x1) AS x1, least({PAGE_H}, y1) AS y1 FROM survivors)
     SELECT * FROM c WHERE x1 > x0 AND y1 > y0""")
 def layout_postprocess(spark, sf_dir):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(good, F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))).otherwise(0.0)
 
 
-PAIRS = f"""{LN}, c AS (SELECT *, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS t FROM ln), p AS (SELECT line_id, doc_id, t, lead(t) OVER (PARTITION BY doc_id, page_index, region_id ORDER BY line_index, line_id) AS g FROM c)"""
+PAIRS = f"""{LN}, c AS (SELECT *, coalesce(text, '') AS t FROM ln), p AS (SELECT line_id, doc_id, t, lead(t) OVER (PARTITION BY doc_id, page_index, region_id ORDER BY line_index, line_id) AS g FROM c)"""
 
 
 def line_pairs(lines: DataFrame, text: Column) -> DataFrame:
@@ -40,8 +45,8 @@ def _lines(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Pairs with letters beyond ASCII left out, so that bytes and characters are the same and SQL can say it."""
-    return line_pairs(_lines(spark, sf_dir), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""))
+    """Pairs of whole texts with a letter for each byte of UTF-8, so that distances and lengths count bytes."""
+    return line_pairs(_lines(spark, sf_dir), F.decode(F.encode(F.coalesce("text", F.lit("")), "utf-8"), "iso-8859-1"))
 
 
 def distances(pairs: DataFrame) -> DataFrame:
@@ -54,6 +59,7 @@ def mean_error_rates(pairs: DataFrame) -> DataFrame:
 
 @R.query("edit_distance", f"WITH {PAIRS} SELECT line_id, CAST(levenshtein(t, g) AS INT) AS distance FROM p WHERE g IS NOT NULL")
 def edit_distance(spark, sf_dir):
+    """Distance in bytes of each line to the next of its region."""
     return distances(_pairs(spark, sf_dir))
 
 
@@ -63,8 +69,9 @@ def edit_distance_whole(spark, sf_dir):
     return distances(line_pairs(_lines(spark, sf_dir), F.coalesce("text", F.lit(""))))
 
 
-@R.query("cer_pairs", f"WITH {PAIRS} SELECT doc_id, count(*) AS pairs, round(avg(CASE WHEN length(t) = 0 THEN CASE WHEN length(g) = 0 THEN 0 ELSE 1 END ELSE least(1, levenshtein(t, g) / CAST(length(t) AS DOUBLE)) END), 9) AS mean_cer FROM p WHERE g IS NOT NULL GROUP BY doc_id")
+@R.query("cer_pairs", f"WITH {PAIRS} SELECT doc_id, count(*) AS pairs, round(avg(CASE WHEN t = '' THEN CASE WHEN g = '' THEN 0 ELSE 1 END ELSE least(1, levenshtein(t, g) / CAST(strlen(t) AS DOUBLE)) END), 9) AS mean_cer FROM p WHERE g IS NOT NULL GROUP BY doc_id")
 def cer_pairs(spark, sf_dir):
+    """Mean error rate in bytes of each document's lines, the next line of a region standing for the truth."""
     return mean_error_rates(_pairs(spark, sf_dir))
 
 
@@ -109,3 +116,26 @@ def repeated_hash_check(spark, sf_dir):
     """Texts that occur more than once, and under how many sources."""
     d = load(spark, sf_dir, "documents", "text", "source").where("text <> ''").groupBy(F.sha2("text", 256).alias("text_hash"), "source").agg(F.count("*").alias("n"))
     return d.groupBy("text_hash").agg(F.count("*").alias("sources"), F.sum("n").alias("copies")).where("copies > 1")
+
+
+def canonical_hash(raw: Column) -> Column:
+    """SHA-256 of JSON in one form: keys sorted, no blanks, letters beyond ASCII kept. Null for null and for what isn't JSON."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(_canonical)
+
+    return F.pandas_udf(run, "string")(raw)
+
+
+def _canonical(text: str | None) -> str | None:
+    try:
+        return None if text is None else hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    except ValueError:
+        return None
+
+
+@R.query("canonical_hashes", "SELECT event_id, sha256(replace(props, ' ', '')) AS hash FROM events")
+def canonical_hashes(spark, sf_dir):
+    """Hash of each event's properties, whatever their order and blanks."""
+    return load(spark, sf_dir, "events", "event_id", "props").select("event_id", canonical_hash(F.col("props")).alias("hash"))

@@ -105,10 +105,10 @@ def latency_percentiles(spark, sf_dir):
     return summarised(requests(spark, sf_dir, "case_name", "latency_ms"), "case_name", {"": finite("latency_ms")})
 
 
-@R.query("bench_summary", f"WITH {PAGES} SELECT page_index AS case_id, {', '.join(f'round(coalesce(avg({c}), 0), 6) AS mean_{c}' for c in STAGES)}, {_summary_sql('total_ms', 'total_')} FROM pages WHERE page_index < 5 GROUP BY page_index")
+@R.query("bench_summary", f"WITH {PAGES} SELECT page_index AS case_id, {', '.join(f'round(coalesce(avg({c}), 0), 6) AS mean_{c}' for c in STAGES)}, {_summary_sql('total_ms', 'total_')} FROM pages GROUP BY page_index")
 def bench_summary(spark, sf_dir):
-    """Mean stage times and page latency by case; the page position stands for the five cases. Later pages are left out, as in the SQL."""
-    return bench_figures(pages(spark, sf_dir).where("page_index < 5"))
+    """Mean stage times and page latency by case; the page position stands for the case."""
+    return bench_figures(pages(spark, sf_dir))
 
 
 def bench_figures(rows: DataFrame) -> DataFrame:
@@ -117,12 +117,6 @@ def bench_figures(rows: DataFrame) -> DataFrame:
     return means.join(summarised(rows, "case_id", {"total_": F.col("total_ms")}), F.col("_c").eqNullSafe(F.col("case_id"))).drop("_c")
 
 
-@R.query("bench_summary_whole")
-def bench_summary_whole(spark, sf_dir):
-    """Mean stage times and page latency by page position, over all pages."""
-    return bench_figures(pages(spark, sf_dir))
-
-
 @R.query("latency_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def latency_windows(spark, sf_dir):
     """Tumbling hours over the event log."""
@@ -365,3 +359,32 @@ def bench_cases(spark, sf_dir):
     long = pages(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("case_name"), v.alias("us")) for k, v in cases.items()])).alias("x")).select("doc_id", "x.*").where("us IS NOT NULL")
     per = long.groupBy("case_name", "doc_id").agg(F.sum("us").alias("us"), F.count("*").alias("pages"))
     return per.groupBy("case_name").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.min("us").alias("min_us"), F.max("us").alias("max_us"), F.round(F.sum("us") / F.count("*"), 6).alias("mean_us"))
+
+
+def _report_rows(rows: DataFrame, section: str, name: Column, value: Column) -> DataFrame:
+    return rows.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+
+@R.query("topology_report", f"""WITH {SCALING_CTE}, wv AS (SELECT s.topology, CAST(r.ts AS DATE) AS wave FROM req r JOIN shards s USING (shard_id)), w AS (SELECT topology, count(DISTINCT wave) AS waves, count(*) AS requests FROM wv GROUP BY topology),
+    sd AS (SELECT topology, count(*) AS shards FROM shards GROUP BY topology), v AS (SELECT max(CASE WHEN devices = 2 THEN efficiency END) AS e2, max(CASE WHEN devices = 3 THEN efficiency END) AS e3 FROM eff)
+    SELECT 'matrix' AS section, topology AS name, CAST(shards AS VARCHAR) AS value FROM sd UNION ALL SELECT 'waves', topology, CAST(waves AS VARCHAR) FROM w UNION ALL SELECT 'requests', topology, CAST(requests AS VARCHAR) FROM w UNION ALL SELECT 'scaling', CAST(devices AS VARCHAR), CAST(requests AS VARCHAR) FROM eff
+    UNION ALL SELECT 'verdict', 'scaling', CASE WHEN e2 IS NULL OR e3 IS NULL THEN 'blocked' WHEN e2 >= 0.75 AND e3 >= 0.60 THEN 'scales' WHEN e2 > 0 OR e3 > 0 THEN 'partly' ELSE 'no' END FROM v""")
+def topology_report(spark, sf_dir):
+    """The report on topologies as rows (section, name, value): what was run, its waves and requests, scaling and the verdict."""
+    sd = load(spark, sf_dir, "shards", "shard_id", "topology").groupBy("topology").agg(F.count("*").alias("shards"))
+    w = _waves(spark, sf_dir).groupBy("topology").agg(F.countDistinct("wave").alias("waves"), F.count("*").alias("requests"))
+    parts = [
+        _report_rows(sd, "matrix", F.col("topology"), F.col("shards")), _report_rows(w, "waves", F.col("topology"), F.col("waves")), _report_rows(w, "requests", F.col("topology"), F.col("requests")),
+        _report_rows(scaling(spark, sf_dir), "scaling", F.col("devices"), F.col("requests")), _report_rows(scaling_verdict(spark, sf_dir), "verdict", F.lit("scaling"), F.col("verdict")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def bench_text(summary_rows: DataFrame) -> DataFrame:
+    """Bench rows (case_name, documents, pages, min_us, max_us, mean_us) with a line of text and JSON of each."""
+    ms = lambda c: F.format_string("%.3f ms", F.col(c) / 1000.0)
+    text = F.concat("case_name", F.lit(": documents="), F.col("documents").cast("string"), F.lit(" pages="), F.col("pages").cast("string"), F.lit(" mean="), ms("mean_us"), F.lit(" min="), ms("min_us"), F.lit(" max="), ms("max_us"))
+    return summary_rows.select("case_name", text.alias("text"), F.to_json(F.struct(*summary_rows.columns)).alias("json"))

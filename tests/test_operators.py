@@ -199,5 +199,5 @@ def test_whole_texts_are_measured(spark, tmp_path):
 def test_bench_summary_holds_all_pages(spark, tmp_path):
     rows = [(d, p, *[float(p + k) for k in range(len(stats.STAGES))], float(10 * p + d)) for d in range(3) for p in range(8)]
     spark.createDataFrame(rows * 2, "doc_id bigint, page_index int, " + ", ".join(f"{c} double" for c in stats.STAGES) + ", total_ms double").write.parquet(f"{tmp_path}/page_stats.parquet")
-    got = {r.case_id: (r.total_n, r.total_mean, r.mean_ocr_ms) for r in stats.queries()["bench_summary_whole"](spark, str(tmp_path)).collect()}
+    got = {r.case_id: (r.total_n, r.total_mean, r.mean_ocr_ms) for r in stats.queries()["bench_summary"](spark, str(tmp_path)).collect()}
     assert got == {p: (3, 10.0 * p + 1, p + 1.0) for p in range(8)}
