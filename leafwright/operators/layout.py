@@ -49,25 +49,33 @@ def suppress(boxes: DataFrame, keys: list[str] = ["page_id"], same: float = SAME
     ranked = boxes.withColumn("_rank", -F.col("score_m"))
 
     def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
-        box = np.stack([t.column(k).to_numpy().astype(float) for k in ("x0", "y0", "x1", "y1")], axis=1)
-        cls = t.column("cls_id").to_numpy()
-        size = (box[:, 2] - box[:, 0] + 1) * (box[:, 3] - box[:, 1] + 1)
-        ends = np.append(starts[1:], t.num_rows)
-        keep = np.ones(t.num_rows, dtype=bool)
-        for s, e in zip(starts, ends):
-            for i in range(s, e):
-                if not keep[i] or i + 1 == e:
-                    continue
-                rest = slice(i + 1, e)
-                w = np.minimum(box[i, 2], box[rest, 2]) - np.maximum(box[i, 0], box[rest, 0]) + 1
-                h = np.minimum(box[i, 3], box[rest, 3]) - np.maximum(box[i, 1], box[rest, 1]) + 1
-                inter = np.maximum(w, 0) * np.maximum(h, 0)
-                keep[rest] &= inter < np.where(cls[rest] == cls[i], same, other) * (size[i] + size[rest] - inter)
-        return t.filter(pa.array(keep)).drop_columns(["_rank"])
+        return t.filter(pa.array(survivors(_corners(t), t.column("cls_id").to_numpy(), starts, same, other))).drop_columns(["_rank"])
 
     return grouped_arrow(ranked, keys, run, schema, order=["_rank", "det_pos"])
 
 
+def _corners(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(k).to_numpy().astype(float) for k in ("x0", "y0", "x1", "y1")], axis=1)
+
+
+def survivors(box: np.ndarray, cls: np.ndarray, starts: np.ndarray, same: float = SAME_CLASS, other: float = OTHER_CLASS) -> np.ndarray:
+    """Mask of the boxes that greedy suppression keeps, for many pages at once: boxes are in falling score within their page, and pages of one size step together."""
+    keep = np.ones(len(box), dtype=bool)
+    sizes = np.diff(np.append(starts, len(box)))
+    for n in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == n][:, None] + np.arange(n)
+        b, c, k = box[at], cls[at], np.ones(at.shape, dtype=bool)
+        area = (b[..., 2] - b[..., 0] + 1) * (b[..., 3] - b[..., 1] + 1)
+        for i in range(n - 1):
+            w = np.minimum(b[:, i, None, 2], b[:, i + 1 :, 2]) - np.maximum(b[:, i, None, 0], b[:, i + 1 :, 0]) + 1
+            h = np.minimum(b[:, i, None, 3], b[:, i + 1 :, 3]) - np.maximum(b[:, i, None, 1], b[:, i + 1 :, 1]) + 1
+            inter = np.maximum(w, 0) * np.maximum(h, 0)
+            near = inter >= np.where(c[:, i + 1 :] == c[:, i, None], same, other) * (area[:, i, None] + area[:, i + 1 :] - inter)
+            k[:, i + 1 :] &= ~(near & k[:, i, None])
+        keep[at] = k
+    return keep
+
+
 def drop_page_images(boxes: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> DataFrame:
     """Drop image boxes that cover nearly the page, where it has other boxes; a page that would be left empty keeps all."""
     limit = (0.82 if page_h > page_w else 0.93) * page_w * page_h
@@ -86,8 +94,42 @@ def clipped(boxes: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> Dat
     return out.where("x1 > x0 AND y1 > y0")
 
 
-def postprocess(boxes: DataFrame) -> DataFrame:
-    return clipped(drop_page_images(suppress(categorised(confident(boxes)))))
+def postprocess(boxes: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H, ordered: bool = False) -> DataFrame:
+    """Thresholds, suppression, page images, numbering and clipping, with `ordered` the reading order too, in one pass over whole pages.
+
+    The same as `suppress`, `drop_page_images`, `clipped` and `reading_order` one after the other, which shuffle the boxes for each step.
+    """
+    boxes = categorised(confident(boxes))
+    schema = ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", box_index int" + ", reading_order int" * ordered
+    limit = (0.82 if page_h > page_w else 0.93) * page_w * page_h
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        box = _corners(t)
+        on_page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        keep = survivors(box, t.column("cls_id").to_numpy(), starts)
+        cut = np.stack([np.maximum(box[:, 0], 0), np.maximum(box[:, 1], 0), np.minimum(box[:, 2], page_w), np.minimum(box[:, 3], page_h)], axis=1)
+        seen = (np.clip(box[:, 2], 0, page_w) - np.clip(box[:, 0], 0, page_w)) * (np.clip(box[:, 3], 0, page_h) - np.clip(box[:, 1], 0, page_h))
+        left = np.bincount(on_page[keep], minlength=len(starts))
+        large = keep & (t.column("label").to_numpy(zero_copy_only=False) == "image") & (left[on_page] > 1) & (seen > limit)
+        keep &= ~large | (np.bincount(on_page[large], minlength=len(starts)) == left)[on_page]
+        nth = np.cumsum(keep)
+        index = nth - 1 - np.concatenate([[0], nth])[starts][on_page]
+        keep &= (cut[:, 2] > cut[:, 0]) & (cut[:, 3] > cut[:, 1])
+        rows = np.flatnonzero(keep)
+        if ordered:
+            det = t.column("det_pos").to_numpy()
+            rows = rows[np.lexsort((det[rows], on_page[rows]))]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(on_page[rows])) + 1]) if len(rows) else np.empty(0, dtype=int)
+            sequence = [s + np.array(reading_sequence(cut[rows[s:e]], page_w, page_h), dtype=np.int64) for s, e in zip(first, np.append(first[1:], len(rows)))]
+            order = np.concatenate([np.arange(len(x)) for x in sequence]) if sequence else np.empty(0, dtype=int)
+            rows = rows[np.concatenate(sequence)] if sequence else rows
+        out = t.take(pa.array(rows)).drop_columns(["_rank"])
+        for i, k in enumerate(("x0", "y0", "x1", "y1")):
+            out = out.set_column(out.column_names.index(k), k, pa.array(cut[rows, i]).cast(t.schema.field(k).type))
+        out = out.append_column("box_index", pa.array(index[rows], type=pa.int32()))
+        return out.append_column("reading_order", pa.array(order, type=pa.int32())) if ordered else out
+
+    return grouped_arrow(boxes.withColumn("_rank", -F.col("score_m")), ["page_id"], run, schema, order=["_rank", "det_pos"])
 
 
 def horizontal(width: Column, height: Column) -> Column:
@@ -98,17 +140,21 @@ def horizontal(width: Column, height: Column) -> Column:
 
 def gap_segments(lo: np.ndarray, hi: np.ndarray, size: int, least_gap: int, least: int = 0) -> list[tuple[int, int]]:
     """Occupied runs of the projection of [lo, hi) on [0, size); runs closer than `least_gap` are one, and the last run reaches the end of the array if too little room follows it."""
-    depth = np.zeros(size + 1, dtype=np.int64)
     a, b = np.clip(lo.astype(np.int64), 0, size), np.clip(hi.astype(np.int64), 0, size)
-    ok = b > a
-    np.add.at(depth, a[ok], 1)
-    np.add.at(depth, b[ok], -1)
-    on = np.concatenate([[False], np.cumsum(depth)[:size] > least, [False]])
-    edges = np.flatnonzero(on[1:] != on[:-1])
     runs: list[tuple[int, int]] = []
-    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if runs and s - runs[-1][1] < least_gap:
-            runs[-1] = (runs[-1][0], e)
+    if least <= 0:  # a run is a union of intervals
+        found = sorted(x for x in zip(a.tolist(), b.tolist()) if x[0] < x[1])
+    else:
+        depth = np.zeros(size + 1, dtype=np.int64)
+        ok = b > a
+        np.add.at(depth, a[ok], 1)
+        np.add.at(depth, b[ok], -1)
+        on = np.concatenate([[False], np.cumsum(depth)[:size] > least, [False]])
+        edges = np.flatnonzero(on[1:] != on[:-1]).tolist()
+        found = list(zip(edges[::2], edges[1::2]))
+    for s, e in found:
+        if runs and s - runs[-1][1] < max(least_gap, 1):
+            runs[-1] = (runs[-1][0], max(runs[-1][1], e))
         else:
             runs.append((s, e))
     if runs and size - runs[-1][1] < least_gap:
@@ -339,7 +385,7 @@ def xycut_first_split(spark, sf_dir):
 
 @R.query("reading_order")
 def reading_order_query(spark, sf_dir):
-    return reading_order(postprocess(detections(spark, sf_dir)).select("page_id", "det_pos", "label", "category", "x0", "y0", "x1", "y1"))
+    return postprocess(detections(spark, sf_dir), ordered=True).select("page_id", "det_pos", "label", "category", "x0", "y0", "x1", "y1", "reading_order")
 
 
 def _numbered(spark, sf_dir, categories, name):
