@@ -388,6 +388,16 @@ def reading_order_query(spark, sf_dir):
     return postprocess(detections(spark, sf_dir), ordered=True).select("page_id", "det_pos", "label", "category", "x0", "y0", "x1", "y1", "reading_order")
 
 
+@R.query("reading_order_drawn", "WITH w0 AS (SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS det_pos FROM lineitem) SELECT page_id, det_pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN page_id % 2 = 1 THEN det_pos % 3 ELSE det_pos // 3 END, CASE WHEN page_id % 2 = 1 THEN det_pos // 3 ELSE det_pos % 3 END) - 1 AS INT) AS reading_order FROM w0")
+def reading_order_drawn(spark, sf_dir):
+    """Pages of three columns with white gaps: wide boxes (odd pages) are read column by column, high ones row by row."""
+    d = detections(spark, sf_dir).select("page_id", "det_pos", (F.col("det_pos") % 3).alias("c"), F.floor(F.col("det_pos") / 3).cast("int").alias("r"))
+    wide = F.col("page_id") % 2 == 1
+    w, h = F.when(wide, 300).otherwise(100), F.when(wide, 100).otherwise(200)
+    boxes = d.select("page_id", "det_pos", (F.col("c") * 700).alias("x0"), (F.col("r") * 400).alias("y0"), (F.col("c") * 700 + w).alias("x1"), (F.col("r") * 400 + h).alias("y1"))
+    return reading_order(boxes).select("page_id", "det_pos", "reading_order")
+
+
 def _numbered(spark, sf_dir, categories, name):
     boxes = categorised(confident(detections(spark, sf_dir))).where(F.col("category").isin(*categories))
     roi = (F.least("x1", F.lit(PAGE_W)) > F.greatest("x0", F.lit(0))) & (F.least("y1", F.lit(PAGE_H)) > F.greatest("y0", F.lit(0)))

@@ -204,6 +204,24 @@ def table_grid_query(spark, sf_dir):
     return table_grid(_derived(spark, sf_dir, "boxes"))
 
 
+DRAWN_CTE = """w0 AS (SELECT l_orderkey AS table_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS cell_index, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n FROM lineitem),
+drawn AS (SELECT table_id, cell_index, CAST(CASE WHEN table_id % 5 = 2 AND cell_index > 0 THEN floor((cell_index - 1) / 3) + 1 ELSE floor(cell_index / 3) END AS INT) AS r, CAST(CASE WHEN table_id % 5 <> 2 THEN cell_index % 3 WHEN cell_index = 0 THEN 0 ELSE (cell_index - 1) % 3 END AS INT) AS c, CAST(CASE WHEN table_id % 5 = 2 AND cell_index = 0 THEN least(3, greatest(1, n - 1)) ELSE 1 END AS INT) AS col_span FROM w0)"""
+
+
+def drawn(spark, sf_dir) -> DataFrame:
+    """Cells of a well-formed table for each order: three columns, under a head across all of them where the id is 2 modulo 5."""
+    return spark.sql("WITH " + DRAWN_CTE.replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM drawn", lineitem=load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+
+
+@R.query("table_grid_drawn", f"WITH {DRAWN_CTE} SELECT table_id, cell_index, r, c, 1 AS row_span, col_span FROM drawn")
+def table_grid_drawn(spark, sf_dir):
+    """The grid recovered from the outlines of well-formed tables is the one they were drawn from."""
+    d = drawn(spark, sf_dir)
+    edge = lambda c, k: (c * k).cast("double")
+    boxes = d.select("table_id", "cell_index", edge(F.col("c"), 100).alias("x0"), edge(F.col("r"), 50).alias("y0"), edge(F.col("c") + F.col("col_span"), 100).alias("x1"), edge(F.col("r") + 1, 50).alias("y1"))
+    return table_grid(boxes)
+
+
 ALPHA, ANGLE = 100.0, 50.0
 ENDS = (("x1", "y1", "x1", "y1"), ("x1", "y1", "x2", "y2"), ("x2", "y2", "x1", "y1"), ("x2", "y2", "x2", "y2"))
 RULES_CTE = "ru AS (SELECT table_id, line_index, CAST(x0 AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y1, CAST(x1 AS DOUBLE) AS x2, CAST(y0 + (line_index + table_id) % 3 AS DOUBLE) AS y2 FROM ocr)"
