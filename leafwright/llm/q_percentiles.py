@@ -64,13 +64,33 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles of each case keep their bound, by counting the values on either side of each; and how many values there are."""
+    rows = _requests(spark, sf_dir)
+    digests = qd.merge(qd.build(rows, ["case_name"], list(qd.METRICS), "request_id", EPS), ["case_name"], EPS, block="_block", levels=_levels(rows))
+    got = cut(qd.percentiles(digests, ["case_name"], list(qd.METRICS), EPS).where("n > 0"))
+    names = [c for c in got.columns if c.startswith("p") and c[1:2].isdigit()]
+    claims = got.select(F.col("case_name").alias("_case"), F.col("metric").alias("_metric"), "n", "rank_error", *[qd.leaf_of(F.col(c)).alias(c) for c in names])
+    once = rows.where("request_id IS NOT NULL").dropDuplicates(["request_id"]).unionByName(rows.where("request_id IS NULL"))
+    long = once.select("case_name", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in qd.METRICS])).alias("x")).select("case_name", "x.metric", qd.leaf_of(F.col("x.v")).alias("leaf")).where(F.col("leaf") != qd.leaf_of(F.lit(None)))
+    both = long.groupBy("case_name", "metric", "leaf").agg(F.count("*").alias("c")).join(claims, F.col("case_name").eqNullSafe(F.col("_case")) & (F.col("metric") == F.col("_metric")))
+    ok = F.lit(True)
+    for name, q in zip(names, qd.QUANTILES):
+        below, upto = F.sum(F.when(F.col("leaf") < F.col(name), F.col("c")).otherwise(0)), F.sum(F.when(F.col("leaf") <= F.col(name), F.col("c")).otherwise(0))
+        rank, slack = q * F.max("n"), F.max("rank_error") + 1
+        ok = ok & (below <= rank + slack) & (upto >= rank - slack)
+    return both.groupBy("case_name", "metric").agg(F.sum("c").alias("n_valid"), (ok & (F.sum("c") == F.max("n"))).alias("within"))
+
+
 def queries() -> dict:
-    return {"p1_timing_percentiles": timing_percentiles, "p1_late_batches": late_batch_percentiles, "p1_value_counts": value_counts}
+    return {"p1_timing_percentiles": timing_percentiles, "p1_late_batches": late_batch_percentiles, "p1_value_counts": value_counts, "p1_bound_check": bound_check}
 
 
 def oracle_sql() -> dict[str, str]:
     union = " UNION ALL ".join(f"SELECT case_name, '{m}' AS metric, {m} AS v FROM r" for m in qd.METRICS)
     return {
+        "p1_bound_check": f"""WITH r AS (SELECT * FROM (SELECT DISTINCT ON (request_id) * FROM requests WHERE request_id IS NOT NULL) UNION ALL SELECT * FROM requests WHERE request_id IS NULL), long AS ({union})
+            SELECT case_name, metric, count(*) AS n_valid, true AS within FROM long WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND NOT isinf(v) GROUP BY case_name, metric""",
         "p1_value_counts": f"""WITH r AS (SELECT * FROM (SELECT DISTINCT ON (request_id) * FROM requests WHERE request_id IS NOT NULL) UNION ALL SELECT * FROM requests WHERE request_id IS NULL), long AS ({union})
             SELECT case_name, metric, count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND NOT isinf(v)) AS n_valid, count(*) FILTER (WHERE v IS NULL) AS n_null,
             count(*) FILTER (WHERE isnan(v)) AS n_nan, count(*) FILTER (WHERE NOT isnan(v) AND v < 0 AND NOT isinf(v)) AS n_negative, count(*) FILTER (WHERE isinf(v)) AS n_infinite FROM long GROUP BY case_name, metric"""
