@@ -105,7 +105,7 @@ def latency_percentiles(spark, sf_dir):
     return summarised(requests(spark, sf_dir, "case_name", "latency_ms"), "case_name", {"": finite("latency_ms")})
 
 
-@R.query("bench_summary", f"WITH {PAGES} SELECT page_index AS case_id, {', '.join(f'round(coalesce(avg({c}), 0), 6) AS mean_{c}' for c in STAGES)}, {_summary_sql('total_ms', 'total_')} FROM pages GROUP BY page_index")
+@R.query("bench_summary", f"WITH {PAGES} SELECT page_index AS case_id, {', '.join(f'round(coalesce(CAST(sum(CAST(floor({c} * 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) / CAST(count({c}) AS DOUBLE) / 1000.0::DOUBLE, 0), 9) AS mean_{c}' for c in STAGES)}, {_summary_sql('total_ms', 'total_')} FROM pages GROUP BY page_index")
 def bench_summary(spark, sf_dir):
     """Mean stage times and page latency by case; the page position stands for the case."""
     return bench_figures(pages(spark, sf_dir))
@@ -113,7 +113,7 @@ def bench_summary(spark, sf_dir):
 
 def bench_figures(rows: DataFrame) -> DataFrame:
     rows = rows.withColumnRenamed("page_index", "case_id")
-    means = rows.groupBy(F.col("case_id").alias("_c")).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias("mean_" + c) for c in STAGES])
+    means = rows.groupBy(F.col("case_id").alias("_c")).agg(*[F.round(F.coalesce(F.try_divide(F.sum(F.floor(F.col(c) * 1000.0 + 0.5).cast("long")), F.count(c)) / 1000.0, F.lit(0.0)), 9).alias("mean_" + c) for c in STAGES])  # summed as whole microseconds, so in any order the same
     return means.join(summarised(rows, "case_id", {"total_": F.col("total_ms")}), F.col("_c").eqNullSafe(F.col("case_id"))).drop("_c")
 
 
