@@ -255,8 +255,9 @@ def tokens_of(text: str) -> list[tuple[int, int, str]]:
         while a < b and text[a] in "[{<¿¡*#•·_=~…|\\":
             a += 1
         t = text[a:b]
-        if t and not CODE.fullmatch(t) and any(c.isalpha() for c in t) and not CJK.search(t):
-            out.append((a, b, t.lower()))
+        if t.isalpha() or (t and not CODE.fullmatch(t) and any(map(str.isalpha, t))):  # letters alone are no code
+            if t.isascii() or not CJK.search(t):
+                out.append((a, b, t.lower()))
     return out
 
 
@@ -428,7 +429,7 @@ def furniture_kind(text: str, kind: str | None, label: str | None, y0: float | N
     letters = sum(c.isalpha() for c in t)
     if SENTENCE_END.search(t) or letters < 2 or DECIMAL.search(t) or label in ("doc_title", "paragraph_title", "footnote", "reference"):
         return None
-    if re.match(r"^\s*(?:[-*•·▪○]|\(?\d{1,2}[.)]|\[[ x]\])\s", t):
+    if ITEM.match(t):
         return None
     return "footer" if low else "header" if high else None
 
@@ -622,6 +623,10 @@ def noise_rows(elements: DataFrame, lines: DataFrame) -> DataFrame:
     return of_elements.unionByName(stood).unionByName(of_lines).unionByName(furniture).distinct()
 
 
+_CLOSING = "\"'”’»)]"
+ITEM = re.compile(r"(?:[-*•·▪○]|\(?\d{1,2}[.)]|\[[ x]\])\s")
+
+
 def paragraph_starts(lines: list[str]) -> list[int]:
     """First lines of the paragraphs of a region, by dynamic programming: a paragraph costs, and so does joining lines that look like an end and a start."""
     n = len(lines)
@@ -635,11 +640,11 @@ def paragraph_starts(lines: list[str]) -> list[int]:
         if not a or not b:
             return 6.0
         c = 0.0
-        if SENTENCE_END.search(a):
+        if a.rstrip(_CLOSING)[-1:] in _CLOSERS:
             c += 1.0 + (2.5 if len(a) < 0.75 * usual else 0.0)
-        elif HYPHEN_END.search(a):
+        elif a[-1] in "-¬‐‑\xad" and HYPHEN_END.search(a):
             c -= 4.0
-        if re.match(r"(?:[-*•·▪○]|\(?\d{1,2}[.)]|\[[ x]\])\s", b):
+        if (b[0] in "-*•·▪○([" or b[0].isdecimal()) and ITEM.match(b):
             c += 4.0
         return c - (2.0 if b[0].islower() else 0.0)
 
