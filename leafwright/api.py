@@ -69,11 +69,18 @@ def file_parse(requests: DataFrame, options: DataFrame | None = None, parse: Par
     return got.groupBy("request_id").agg(F.lit(200).alias("code"), F.count("*").alias("files"), F.count_if(F.col("code") == 200).alias("successful_files"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("path", item.alias("v")))), lambda x: x["v"])).alias("results"))
 
 
-def annotate(requests: DataFrame, parse: Parse = no_text) -> DataFrame:
-    """request_id, position, code, status, text for items (request_id, position, feature, uri, content as base64): remote addresses are refused (403), unknown features, missing images and images that can't be opened are invalid (400)."""
+def annotate(requests: DataFrame, parse: Parse = no_text, images: DataFrame | None = None) -> DataFrame:
+    """request_id, position, code, status, markdown for items (request_id, position, feature, uri, content as base64): remote addresses are refused (403), unknown features, missing images and images that can't be opened are invalid (400).
+
+    `images`: path and content of the files that local addresses may name, such as `files.documents` gives; an address that names none of them is missing.
+    """
     remote = F.coalesce(F.col("uri").startswith("http://") | F.col("uri").startswith("https://"), F.lit(False))
-    content = service.lenient_base64(F.col("content"))
-    rows = requests.withColumn("bytes", content).withColumn("code", F.when(~F.coalesce(F.col("feature").isin(*FEATURES), F.lit(False)), 400).when(F.col("content").isNull() & remote, 403).when(F.coalesce(F.length("bytes"), F.lit(0)) == 0, 400))
+    rows = requests.withColumn("bytes", service.lenient_base64(F.col("content")))
+    if images is not None:
+        plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+        found = images.dropDuplicates(["path"]).select(plain(F.col("path")).alias("_file"), F.col("content").alias("_read"))
+        rows = rows.join(found, plain(F.col("uri")) == F.col("_file"), "left").withColumn("bytes", F.coalesce("bytes", "_read")).drop("_file", "_read")
+    rows = rows.withColumn("code", F.when(~F.coalesce(F.col("feature").isin(*FEATURES), F.lit(False)), 400).when(F.col("content").isNull() & remote, 403).when(F.coalesce(F.length("bytes"), F.lit(0)) == 0, 400))
     path = F.concat_ws("/", F.col("request_id").cast("string"), F.concat(F.col("position").cast("string"), F.lit(".png")))
     good = process(rows.where("code IS NULL").select("request_id", path.alias("path"), F.col("bytes").alias("content")), parse).select(F.col("path").alias("_path"), F.col("code").alias("_code"), "markdown")
     out = rows.withColumn("_path", path).join(good, "_path", "left").withColumn("code", F.coalesce("code", "_code", F.lit(500)))

@@ -264,7 +264,7 @@ def pages_per_second(spark, sf_dir):
     return requests(spark, sf_dir, "case_name", "page_count", "latency_ms").rollup("case_name").agg((F.grouping("case_name") == 1).alias("is_total"), F.count("*").alias("files"), F.sum("page_count").alias("pages"), F.round(t, 3).alias("seconds"), F.round(F.when(t > 0, F.sum("page_count") / t), 6).alias("pages_per_s"))
 
 
-@R.query("least_inflight_route", f"""WITH {REQ}, c AS (SELECT r.request_id, s.shard_id, CAST((s.shard_id * 31 + r.request_id * 7) % 5 AS INT) AS inflight, CAST((s.shard_id - r.request_id % 8 + 8) % 8 AS INT) AS distance FROM req r, shards s),
+@R.query("least_inflight_route", f"""WITH {REQ}, c AS (SELECT r.request_id, s.shard_id, CAST((s.shard_id * 31 + r.request_id * 7) % 5 AS INT) AS inflight, CAST((s.shard_id - r.request_id % n + n) % n AS INT) AS distance FROM req r, shards s, (SELECT count(DISTINCT shard_id) AS n FROM shards)),
     k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY inflight, distance) AS rn FROM c) SELECT request_id, shard_id AS routed_to, inflight FROM k WHERE rn = 1""")
 def least_inflight_route(spark, sf_dir):
     """Shard with the fewest requests in flight, searched round-robin from the request's start; the load is a formula of request and shard. No join: the candidates are an array."""

@@ -6,7 +6,7 @@
 MAP = {
     "SRC-01": "plug-in test_file_sources test_page_counts", "SRC-02": "plug-in test_page_counts", "SRC-03": "page_range selected_pages", "SRC-04": "test_page_counts", "SRC-05": "test_pixels_and_files",
     "SRC-06": "test_image_is_one_page_of_its_size", "SRC-07": "test_image_is_one_page_of_its_size", "SRC-08": "source_dispatch", "SRC-09": "test_uploads", "SRC-10": "base64_roundtrip test_process_and_file_parse",
-    "SRC-11": "annotate_errors test_annotate", "SRC-12": "test_folder_keeps_order_and_errors", "SRC-13": "test_file_sources", "SRC-14": "test_file_sources", "SRC-15": "test_outputs_are_written_and_cleaned",
+    "SRC-11": "annotate_errors test_annotate test_annotate_looks_local_images_up", "SRC-12": "test_folder_keeps_order_and_errors", "SRC-13": "test_file_sources", "SRC-14": "test_file_sources", "SRC-15": "test_outputs_are_written_and_cleaned",
     "SNK-01": "document_markdown output_paths test_outputs_are_written_and_cleaned", "SNK-02": "content_list output_paths test_outputs_are_written_and_cleaned", "SNK-03": "middle_json model_json output_paths", "SNK-04": "output_paths test_outputs_are_written_and_cleaned",
     "SNK-05": "figure_elements equation_elements test_crops_and_overlays", "SNK-06": "overlay_colors test_crops_and_overlays", "SNK-07": "detail_report", "SNK-08": "output_paths test_outputs_are_written_and_cleaned", "SNK-09": "page_summaries", "SNK-10": "file_payloads test_payload_parts_are_sent_only_when_wanted",
     "PRJ-01": "bbox_geometry", "PRJ-02": "bbox_normalized", "PRJ-03": "layout_category_profile", "PRJ-04": "layout_category_profile", "PRJ-05": "layout_category_profile", "PRJ-06": "layout_clip_filter", "PRJ-07": "bbox_roi",

@@ -103,6 +103,14 @@ def test_annotate(spark):
     assert got == {0: (200, "OK"), 1: (400, "INVALID_ARGUMENT"), 2: (403, "PERMISSION_DENIED"), 3: (400, "INVALID_ARGUMENT"), 4: (400, "INVALID_ARGUMENT"), 5: (400, "INVALID_ARGUMENT")}
 
 
+def test_annotate_looks_local_images_up(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(PNG)
+    rows = [(1, 0, "TEXT_DETECTION", str(tmp_path / "a.png"), None), (1, 1, "TEXT_DETECTION", str(tmp_path / "b.png"), None), (1, 2, "TEXT_DETECTION", None, base64.b64encode(PNG).decode())]
+    df = spark.createDataFrame(rows, "request_id bigint, position int, feature string, uri string, content string")
+    got = {r.position: r.code for r in api.annotate(df, upper, files.documents(spark, str(tmp_path))).collect()}
+    assert got == {0: 200, 1: 400, 2: 200}
+
+
 def test_health_and_fleet(spark):
     assert api.health(spark)["status"] == "healthy"
     one = json.dumps({"requests": 5, "success": 4, "errors": 1, "per_device": [{"shard_id": 0, "device_id": 1, "request_count": 5}]})
