@@ -10,12 +10,14 @@ For c the evidence of the corpus is combined: a sentence counts as a response wh
 documents that hold it mostly hold nothing else (low information, duplicated, under
 several sources, which stand for hosts, and titles); a sentence found mostly beside real content
 is a mention. Status lines, traces and stock messages are known by form and need the
-corpus only to show that they aren't mentions; there the title decides as well: a body that
-shares terms with its title is content.
+corpus only to show that they aren't mentions; a notice that no list knows is found by evidence alone.
+There the title decides as well: a body that shares terms with its title is content.
 
-Scale: one map over the texts that leaves hashes, an aggregation over sentence hashes with
-map-side combining, and a join of bare documents with it; sentences held by very many documents
-are combined before the shuffle.
+Patterns are tried only where a text has a literal piece of them; the pieces are derived from the patterns.
+
+Scale: one map over the texts that leaves hashes, aggregations over sentence hashes with
+map-side combining, and a join of what bare documents say with the verdicts on it, each
+verdict being dealt out `SALTS` times, so that a notice that a third of all documents hold isn't one task.
 """
 
 from __future__ import annotations

@@ -604,12 +604,15 @@ def furniture_keys(elements: DataFrame) -> DataFrame:
     return elements.where("core IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", F.col("core").alias("key")).agg(F.count("*").alias("n"))
 
 
+PLACE = ("line_id", "doc_id", "page_index", "region_id")
+
+
 def furniture_lines(elements: DataFrame, lines: DataFrame) -> DataFrame:
-    """line_id of recognised lines that are furniture, from the flags of elements and lines."""
-    inside = lines.where("inside IS NOT NULL").select("line_id", "doc_id", F.col("inside").alias("key")).join(furniture_keys(elements), ["doc_id", "key"], "left_semi").select("line_id")
+    """line_id and place of recognised lines that are furniture, from the flags of elements and lines."""
+    inside = lines.where("inside IS NOT NULL").select(*PLACE, F.col("inside").alias("key")).join(furniture_keys(elements), ["doc_id", "key"], "left_semi").select(*PLACE)
     places = elements.where("furniture IS NOT NULL").select("doc_id", "page_index", F.col("reading_order").alias("region_id"))
-    whole = lines.join(places, ["doc_id", "page_index", "region_id"], "left_semi").select("line_id")
-    return lines.where("number_line").select("line_id").unionByName(inside).unionByName(whole)
+    whole = lines.join(places, ["doc_id", "page_index", "region_id"], "left_semi").select(*PLACE)
+    return lines.where("number_line").select(*PLACE).unionByName(inside).unionByName(whole)
 
 
 def noise_rows(elements: DataFrame, lines: DataFrame) -> DataFrame:
@@ -695,30 +698,33 @@ def element_paragraphs(elements: DataFrame, flags: DataFrame, words: Words, text
 
 
 def region_paragraphs(lines: DataFrame, furniture: DataFrame, words: Words, text: str = "canonical") -> DataFrame:
-    """Repaired paragraphs of the recognised lines of each region, without those in `furniture` (line_id). Lines without a place stand alone.
+    """Repaired paragraphs of the recognised lines of each region, without those in `furniture` (line_id and place). Lines without a place stand alone.
 
-    `line_id` is the first line that is left of the region, `reading_order` the region.
+    `line_id` is the first line that is left of the region, `reading_order` the region. Furniture travels beside the lines and meets them in their region, so texts are shuffled once.
     """
+    types = dict(lines.dtypes)
+    rows = lines.where(F.length(text) > 0).select(*PLACE, "line_index", F.col(text).alias("_text"), F.lit(False).alias("_gone"))
+    marks = furniture.select(*PLACE, F.lit(None).cast(types["line_index"]).alias("line_index"), F.lit(None).cast("string").alias("_text"), F.lit(True).alias("_gone"))
     alone = F.when(F.col("doc_id").isNull() | F.col("page_index").isNull() | F.col("region_id").isNull(), F.col("line_id"))
-    kept = lines.where(F.length(text) > 0).join(furniture.select("line_id"), "line_id", "left_anti").withColumn("_alone", alone)
     shared = lines.sparkSession.sparkContext.broadcast(words)
-    types = dict(lines.dtypes)
     keys = ["doc_id", "page_index", "region_id", "_alone"]
 
     def run(t: pa.Table, starts) -> pa.Table:
-        ids, texts = t.column("line_id").to_pylist(), t.column(text).to_pylist()
+        ids, texts, gone = (t.column(c).to_pylist() for c in ("line_id", "_text", "_gone"))
         first, number, out = [], [], []
         bounds = [*starts.tolist(), t.num_rows]
         for s, e in zip(bounds, bounds[1:]):
-            got = repaired("\n".join(texts[i] for i in range(s, e) if i == s or ids[i] is None or ids[i] != ids[i - 1]), shared.value)
-            first += [s] * len(got)
+            drop = {ids[i] for i in range(s, e) if gone[i]}
+            left = [i for i in range(s, e) if not gone[i] and ids[i] not in drop and (i == s or ids[i] is None or gone[i - 1] or ids[i] != ids[i - 1])]
+            got = repaired("\n".join(texts[i] for i in left), shared.value) if left else []
+            first += left[:1] * len(got)
             number += range(len(got))
             out += got
-        got = t.take(pa.array(first, type=pa.int64())).select(["line_id", "doc_id", "page_index", "region_id"])
+        got = t.take(pa.array(first, type=pa.int64())).select(list(PLACE))
         return got.append_column("paragraph", pa.array(number, type=pa.int32())).append_column("text", pa.array(out, type=pa.string()))
 
-    schema = ", ".join(f"{k} {types[k]}" for k in ("line_id", "doc_id", "page_index", "region_id")) + ", paragraph int, text string"
-    got = grouped_arrow(kept.select("line_id", *keys, "line_index", text), keys, run, schema, order=["line_index", "line_id"], target_rows=20_000)
+    schema = ", ".join(f"{k} {types[k]}" for k in PLACE) + ", paragraph int, text string"
+    got = grouped_arrow(rows.unionByName(marks).withColumn("_alone", alone), keys, run, schema, order=["line_index", "line_id"], target_rows=20_000)
     return got.withColumn("elem_id", F.lit(None).cast("bigint")).withColumnRenamed("region_id", "reading_order").select(*PARAGRAPHS)
 
 
