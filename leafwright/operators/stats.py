@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwright.plans.ranking import percentiles, running
+from leafwright.plans.lineage import cut
+from leafwright.plans.ranking import percentiles_of_counts, running
 from leafwright.plans.registry import Registry
 from leafwright.sources import load
 
@@ -70,16 +71,24 @@ def summary(value: Column, prefix: str = "") -> list[Column]:
 
 
 def summarised(rows: DataFrame, group: str, values: dict[str, Column]) -> DataFrame:
-    """Exact summaries of several values per group: `moments`, and p50 and p95 interpolated on rank p (n - 1), each under its prefix.
+    """Exact summaries of several values per group, each under its prefix: `moments`, and p50 and p95 interpolated on rank p (n - 1).
 
-    Ordered by `ranking.percentiles`, so that no task holds a group.
+    The rows are read once, for how often each value occurs; all figures come from these counts, and the percentiles from ordering
+    them by `ranking`, so that no task holds a group.
     """
-    first = rows.groupBy(group).agg(*[m for prefix, v in values.items() for m in moments(v, prefix)])
-    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(p).alias("which"), v.alias("value")) for p, v in values.items()])).alias("x")).select(group, "x.*")
-    points = percentiles(long, [group, "which"], "value", {"p50": 0.5, "p95": 0.95})
-    wide = points.groupBy(F.col(group).alias("_g")).agg(*[F.max(F.when(F.col("which") == p, F.col(k))).alias(p + k) for p in values for k in ("p50", "p95")])
-    both = first.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
-    return both.select(group, *[F.round(F.coalesce(p + k, F.lit(0.0)), 6).alias(p + k) if k in ("p50", "p95") else F.col(p + k) for p in values for k in ("n", "min", "mean", "max", "p50", "p95")])
+    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(p).alias("which"), v.alias("_v")) for p, v in values.items()])).alias("x")).select(group, "x.*")
+    counted = cut(long.groupBy(group, "which", "_v").agg(F.count("*").alias("_n")))
+    points = percentiles_of_counts(counted.where("_v IS NOT NULL"), [group, "which"], {"p50": 0.5, "p95": 0.95}).select(F.col(group).alias("_g"), F.col("which").alias("_w"), "p50", "p95")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    some = F.col("_v").isNotNull()
+    n = F.coalesce(F.sum(F.when(some, F.col("_n"))), F.lit(0))
+    mean = F.try_divide(F.sum(F.floor(F.col("_v") * 1000.0 + 0.5).cast("long") * F.col("_n")), n) / 1000.0  # summed as whole microseconds, so in any order the same
+    first = counted.groupBy(group, "which").agg(n.alias("n"), zero(F.min("_v")).alias("min"), F.round(zero(F.when(n > 0, mean)), 9).alias("mean"), zero(F.max("_v")).alias("max"))
+    both = first.join(points, F.col(group).eqNullSafe(F.col("_g")) & (F.col("which") == F.col("_w")), "left")
+    names = ("n", "min", "mean", "max", "p50", "p95")
+    figures = F.struct(*[F.col(k) if k in names[:4] else F.round(zero(F.col(k)), 6).alias(k) for k in names])
+    wide = both.groupBy(group).agg(*[F.max(F.when(F.col("which") == p, figures)).alias(f"_f{i}") for i, p in enumerate(values)])
+    return wide.select(group, *[F.col(f"_f{i}.{k}").alias(p + k) for i, p in enumerate(values) for k in names])
 
 
 def _summary_sql(v: str, prefix: str = "") -> str:

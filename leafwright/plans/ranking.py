@@ -57,7 +57,11 @@ def percentiles(rows: DataFrame, groups: Sequence[str], value: str, points: dict
 
     Values are counted before they are ordered, so ties cost one row.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    return percentiles_of_counts(rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), groups, points)
+
+
+def percentiles_of_counts(counted: DataFrame, groups: Sequence[str], points: dict[str, float]) -> DataFrame:
+    """`percentiles` of values `_v` that are counted in `_n`, each value once for its group."""
     at = running(counted, groups, ["_v"], "_n", "_before").withColumn("_end", F.col("_before") + F.col("_n"))
     size = at.groupBy(*groups).agg(F.max("_end").alias("_size")).select(*[F.col(g).alias("_s_" + g) for g in groups], "_size")
     both = at.join(size, reduce(Column.__and__, [F.col(g).eqNullSafe(F.col("_s_" + g)) for g in groups], F.lit(True)))
