@@ -93,7 +93,7 @@ def line_diff(a: str | None, b: str | None) -> tuple[int, int, int, int]:
     added = removed = 0
     for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
         if tag != "equal":
-            # a line that itself begins with two signs is read as a file header by the reference's count
+            # a line that itself begins with two signs looks like a file header of the diff and isn't counted
             removed += sum(not line.startswith("--") for line in x[i:j])
             added += sum(not line.startswith("++") for line in y[k:m])
     return added, removed, len(x), len(y)
